@@ -11,6 +11,8 @@ import hashlib
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from riskloom.functions.text import let
+
 PERMUTATIONS = 64
 PRIME = (1 << 61) - 1
 MASK = (1 << 32) - 1
@@ -32,9 +34,8 @@ def shingle_hash(shingle: Column) -> Column:
 def signature(shingles: Column, n: int = PERMUTATIONS) -> Column:
     ab = F.array(*[F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b"))
                    for a, b in permutations(n)])
-    hashed = F.transform(shingles, shingle_hash)
-    low = F.transform(ab, lambda p: F.array_min(
-        F.transform(hashed, lambda h: ((p["a"] * h + p["b"]) % F.lit(PRIME)).bitwiseAND(F.lit(MASK)))))
+    low = let(F.transform(shingles, shingle_hash), lambda hashed: F.transform(ab, lambda p: F.array_min(
+        F.transform(hashed, lambda h: ((p["a"] * h + p["b"]) % F.lit(PRIME)).bitwiseAND(F.lit(MASK))))))
     return F.when(F.size(shingles) > 0, low).otherwise(F.array_repeat(F.lit(MASK).cast("bigint"), n))
 
 

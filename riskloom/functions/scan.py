@@ -4,7 +4,8 @@ A plain window over ``partitionBy(key)`` sorts every row of a key in a single ta
 holding a third of the rows becomes the job. Here a key is cut by a coarse bucket of its order
 column (an hour, a day): the window runs inside (key, bucket), each bucket is folded to one
 summary row, the summaries are scanned (one row per key and bucket) and the carried-in value is
-joined back. The result equals the plain window.
+joined back. The result equals the plain window, which is used where no key is large: the largest
+key is counted first (or the caller passes what it already knows).
 """
 
 from __future__ import annotations
@@ -15,7 +16,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.session import cut
+
 BUCKET = "__bucket"
+SPLIT_ABOVE = 2_000_000   # rows of one key a single task may sort
+
+
+def has_large_key(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> bool:
+    """True when some key holds more rows than one task should get (a map-side combined count)."""
+    cap = SPLIT_ABOVE if limit is None else limit
+    counted = df.groupBy(*keys).agg(F.count("*").alias("n")) if keys else df.agg(F.count("*").alias("n"))
+    return not counted.filter(F.col("n") > cap).isEmpty()
+
 
 
 @dataclass(frozen=True)
@@ -63,10 +75,21 @@ def _combine(how: str, before: Column, here: Column) -> Column:
 
 def prefix_scan(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, carries: Sequence[Carry],
+    split: bool | None = None,
 ) -> DataFrame:
-    """Add running values per ``keys`` in ``order``; ``bucket`` must not decrease along the order."""
+    """Add running values per ``keys`` in ``order``; ``bucket`` must not decrease along the order.
+
+    ``split``: True cuts keys by bucket, False uses plain windows, None decides by the largest key.
+    """
     keys = list(keys)
-    base = df.withColumn(BUCKET, bucket)
+    if split is None:
+        split = has_large_key(df, keys)
+    if not split:
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        upto = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        before = whole.rowsBetween(Window.unboundedPreceding, -1)
+        return df.select("*", *[_windowed(c.how, c.col, upto if c.inclusive else before).alias(c.name) for c in carries])
+    base = cut(df).withColumn(BUCKET, bucket)
     for i, c in enumerate(carries):
         base = base.withColumn(f"__v{i}", c.col)
     pos = F.struct(*[F.col(o) for o in order])
@@ -99,7 +122,7 @@ def hours(ts: str, width: int = 24) -> Column:
 
 def asof_last(
     probes: DataFrame, facts: DataFrame, keys: Sequence[str], order: str, bucket: Column,
-    take: Sequence[str], strict: bool = False, tie: str | None = None,
+    take: Sequence[str], strict: bool = False, tie: str | None = None, split: bool | None = None,
 ) -> DataFrame:
     """Latest fact at or before (``strict``: before) each probe, per key, without pairing rows.
 
@@ -120,7 +143,7 @@ def asof_last(
         F.struct(*take).alias("__fact"),
     )
     both = left.unionByName(right)
-    out = prefix_scan(both, keys, [order, "__kind", "__tie"], bucket, [Carry("__hit", "last", F.col("__fact"))])
+    out = prefix_scan(both, keys, [order, "__kind", "__tie"], bucket, [Carry("__hit", "last", F.col("__fact"))], split)
     out = out.filter(F.col("__probe").isNotNull())
     return out.select(
         *keys, order, *[F.col(f"__probe.{c}").alias(c) for c in extra],
