@@ -104,7 +104,7 @@ feed0 AS (
          ELSE [{", ".join(f"'{p}'" for p in PUBLISHER_OF_SOURCE)}][CAST(substr(source, 4) AS INTEGER) % 20 + 1] END AS publisher,
     CASE WHEN source_type = 'social' THEN CASE WHEN n % 211 = 0 THEN 'reuters_desk' ELSE 'acct_' || CAST(n % 37 AS VARCHAR) END END AS author,
     n * 60 AS t, trim(head, ' ') AS title,
-    CASE WHEN source_type = 'social' THEN raw ELSE trim(substr(raw, length(head) + 1), ' \\n') END AS body
+    CASE WHEN source_type = 'social' THEN raw ELSE trim(substr(raw, length(head) + 1), ' ' || chr(10)) END AS body
   FROM feed2
 ), feed_text AS (
   SELECT *, CASE WHEN title <> '' AND body <> '' THEN title || chr(10) || body ELSE title || body END AS text,
