@@ -210,3 +210,105 @@ def signals(spark: SparkSession, sf_dir: str, frame: DataFrame | None = None) ->
         F.when((k + seq) % 23 == 0, "retracted").otherwise("active").alias("status"),
         (seq % 3).cast("int").alias("social_authors"), (seq % 29 / 10.0).alias("engine_ms"),
     )
+
+
+# ------------------------------------------------------------------ market series
+MARKET_SQL = """
+li AS (SELECT CAST(l_shipdate AS DATE) AS date, l_partkey, l_linenumber, l_extendedprice AS p, l_discount AS d, l_quantity AS q FROM lineitem),
+lp AS (SELECT li.*, p_brand, p_type FROM li JOIN part ON l_partkey = p_partkey),
+px AS (SELECT date, p_brand AS series, round(sum(p), 2) AS value, round(sum(p * (1 - d)), 4) AS open FROM lp GROUP BY ALL
+  UNION ALL SELECT date, 'TYPE_' || p_type, round(sum(p), 2), round(sum(p * (1 - d)), 4) FROM lp GROUP BY ALL
+  UNION ALL SELECT date, 'MKT', round(sum(p), 2), round(sum(p * (1 - d)), 4) FROM li GROUP BY ALL
+  UNION ALL SELECT date, 'RATE_' || CAST(l_linenumber AS VARCHAR), round(100 * sum(d) / count(*), 6), NULL FROM li GROUP BY ALL
+  UNION ALL SELECT date, 'VIX', round(sum(q) / count(*), 6), NULL FROM li GROUP BY ALL)"""
+
+
+def market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily series in long form: value per brand, part type and in total, rate-like and volatility-like series."""
+    d = table(spark, sf_dir, "lineitem").select(
+        F.to_date("l_shipdate").alias("date"), "l_partkey", "l_linenumber", F.col("l_extendedprice").alias("p"), F.col("l_discount").alias("d"), F.col("l_quantity").alias("q"))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type")
+    one = d.join(part, "l_partkey").withColumn("net", F.col("p") * (1 - F.col("d")))
+    names = F.array(F.col("p_brand"), F.concat(F.lit("TYPE_"), "p_type"), F.lit("MKT"))
+    priced = one.select("date", "p", "net", F.explode(names).alias("series")).groupBy("date", "series").agg(
+        F.round(F.sum("p"), 2).alias("value"), F.round(F.sum("net"), 4).alias("open"))
+    none = F.lit(None).cast("double").alias("open")
+    rates = d.groupBy("date", F.concat(F.lit("RATE_"), F.col("l_linenumber").cast("string")).alias("series")).agg(
+        F.round(100 * F.sum("d") / F.count("*"), 6).alias("value")).select("date", "series", "value", none)
+    vix = d.groupBy("date").agg(F.round(F.sum("q") / F.count("*"), 6).alias("value")).select("date", F.lit("VIX").alias("series"), "value", none)
+    return priced.unionByName(rates).unionByName(vix)
+
+
+CORPUS_FACTORS = (
+    ("EQ:MKT", "ret", (("MKT", 1.0),)), ("EQ:IT", "ret", (("Brand#1", 1.0), ("MKT", 1.0))), ("EQ:FIN", "ret", (("Brand#2", 1.0), ("MKT", 1.0))),
+    ("EQ:IND", "ret", (("Brand#3", 1.0), ("MKT", 1.0))), ("EQ:CS", "ret", (("Brand#4", 1.0), ("MKT", 1.0))), ("EQ:CD", "ret", (("NONE", 1.0), ("TYPE_PROMO", 1.0))),
+    ("EQ:MAT", "ret", (("TYPE_SMALL", 1.0),)), ("EQ:IN", "ret", (("TYPE_LARGE", 1.0),)), ("EQ:IN_BANKS", "ret", (("NONE", 1.0), ("TYPE_LARGE", 1.0))),
+    ("IR:3M", "bp", (("RATE_1", 1.0),)), ("IR:2Y", "bp", (("RATE_2", 1.0),)), ("IR:5Y", "bp", (("RATE_3", 1.0),)), ("IR:10Y", "bp", (("RATE_4", 1.0),)),
+    ("IR:30Y", "bp", (("NONE", 1.0), ("RATE_5", 0.5))), ("IR:IN10Y", "bp", (("RATE_5", 1.0),)), ("CR:IG", "bp", (("RATE_6", 1.0),)),
+    ("CR:BBB", "bp", (("RATE_7", 1.0),)), ("CR:HY", "bp", (("NONE", 1.0), ("RATE_7", 3.0))), ("FX:USDINR", "ret", (("TYPE_MEDIUM", 1.0),)),
+    ("FX:EURUSD", "ret", (("TYPE_STANDARD", 1.0),)), ("VOL:VIX", "pts", (("VIX", 1.0),)),
+)
+CORPUS_SCENARIOS = (
+    ("russia_ukraine_2022", "invasion", "1996-02-18", "1996-03-08", (), "global"), ("tariff_2025", "tariff", "1999-04-02", "1999-04-08", (), "global"),
+    ("svb_2023", "bank run", "1997-03-08", "1997-03-17", (), "global"), ("lehman_2008", "systemic", "1998-09-12", "1998-10-10", (), "global"),
+    ("rate_shock_2022", "rates", "1996-06-09", "1996-06-16", (), "global"), ("covid_2020", "pandemic", "2000-02-19", "2000-03-23", (), "global"),
+    ("deepseek_2025", "competitor", "1999-01-24", "1999-01-27", (), "global"), ("adani_2023", "governance", "1997-01-24", "1997-02-03", ("C000000022",), "india"),
+)
+BOOK_DATE = "2001-12-31"
+STUDY_SPLITS = (("train", "1995-01-01", "1998-12-31"), ("valid", "1999-01-01", "1999-12-31"), ("test", "2000-01-01", "2000-12-31"), ("post", "2001-01-01", "2002-12-31"))
+
+
+# ------------------------------------------------------------------ book
+INSTRUMENTS = ("TERM_LOAN", "REVOLVER", "BOND", "IRS", "FX_FWD", "CDS", "EQ_OPTION", "EQUITY")
+OBLIGOR_SQL = """
+obl AS (SELECT 'C' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS obligor_id, CASE WHEN c_custkey % 10 = 3 THEN 'Financials' ELSE CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'Consumer Discretionary' WHEN 'BUILDING' THEN 'Materials'
+  WHEN 'MACHINERY' THEN 'Industrials' WHEN 'HOUSEHOLD' THEN 'Consumer Staples' ELSE 'Information Technology' END END AS sector, CASE WHEN c_nationkey % 5 = 0 THEN 'IN' ELSE 'US' END AS country,
+  least(16, greatest(0, CAST(floor((c_acctbal + 1000) / 650) AS INTEGER))) AS notch, c_custkey % 10 = 3 AS bank, CASE WHEN c_custkey % 11 = 0 THEN 'G' || CAST(c_nationkey % 3 AS VARCHAR) ELSE '' END AS grp, c_custkey FROM customer),
+obligors AS (SELECT *, greatest(0, notch - c_custkey % 4)::INTEGER AS orig_notch FROM obl)"""
+TRADES_SQL = """
+trades AS (SELECT 'F' || lpad(CAST(l_orderkey AS VARCHAR), 12, '0') AS facility_id, ['TERM_LOAN', 'REVOLVER', 'BOND', 'IRS', 'FX_FWD', 'CDS', 'EQ_OPTION', 'EQUITY'][o_orderkey % 8 + 1] AS inst,
+  CAST(l_shipdate AS DATE) AS trade_date, lpad(CAST(l_linenumber AS VARCHAR), 2, '0') || '-' || lpad(CAST(l_partkey AS VARCHAR), 12, '0') || '-' || lpad(CAST(l_suppkey AS VARCHAR), 12, '0') || '-' || lpad(CAST(CAST(l_quantity AS INTEGER) AS VARCHAR), 4, '0') || '-' || lpad(CAST(CAST(round(l_discount * 100) AS INTEGER) AS VARCHAR), 3, '0') AS trade_id,
+  'C' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS cust, o_custkey, o_orderkey, l_returnflag AS rf, l_linestatus AS ls, l_linenumber AS ln, l_extendedprice AS notional, l_discount AS d,
+  DATE '2001-12-31' + CAST(o_orderkey % 3650 + 30 AS INTEGER) AS maturity FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+def obligors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    segment = F.create_map(*[F.lit(x) for kv in (("AUTOMOBILE", "Consumer Discretionary"), ("BUILDING", "Materials"), ("MACHINERY", "Industrials"), ("HOUSEHOLD", "Consumer Staples")) for x in kv])
+    notch = F.least(F.lit(16), F.greatest(F.lit(0), F.floor((F.col("c_acctbal") + 1000) / 650).cast("int")))
+    return c.select(
+        F.concat(F.lit("C"), F.lpad(k.cast("string"), 9, "0")).alias("obligor_id"), F.col("c_name").alias("name"),
+        F.when(k % 10 == 3, "Financials").otherwise(F.coalesce(F.try_element_at(segment, F.col("c_mktsegment")), F.lit("Information Technology"))).alias("sector"),
+        F.when(F.col("c_nationkey") % 5 == 0, "IN").otherwise("US").alias("country"), notch.alias("notch"),
+        F.greatest(F.lit(0), notch - (k % 4).cast("int")).alias("orig_notch"), (k % 10 == 3).alias("bank"),
+        F.when(k % 11 == 0, F.concat(F.lit("G"), (F.col("c_nationkey") % 3).cast("string"))).otherwise("").alias("group"))
+
+
+def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` + ``orders`` as a trade blotter: an order is a facility, its lines are trades."""
+    l = table(spark, sf_dir, "lineitem")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    j = l.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    cust, rf, d = F.col("o_custkey"), F.col("l_returnflag"), F.col("l_discount")
+    j = j.withColumn("instrument", F.element_at(F.array(*[F.lit(i) for i in INSTRUMENTS]), (F.col("o_orderkey") % 8 + 1).cast("int")))
+    inst = F.col("instrument")
+    name = F.concat(F.lit("C"), F.lpad(cust.cast("string"), 9, "0"))
+    party = F.when((inst == "BOND") & (cust % 9 == 0), "UST").when((inst == "BOND") & (cust % 9 == 1), "GSEC").otherwise(name)
+    direction = (
+        F.when(inst.isin("TERM_LOAN", "REVOLVER"), F.when(rf == "A", "COMMIT").when(rf == "N", "DRAW").otherwise("REPAY"))
+        .when(inst == "BOND", F.when(rf == "R", "SELL").otherwise("BUY")).when(inst == "IRS", F.when(rf == "A", "RECEIVE_FIXED").otherwise("PAY_FIXED"))
+        .when(inst == "FX_FWD", F.when(rf == "N", "BUY_USD").otherwise("SELL_USD")).when(inst == "CDS", F.when(rf == "A", "BUY_PROTECTION").otherwise("SELL_PROTECTION"))
+        .when(inst == "EQ_OPTION", F.when(rf == "R", "SHORT").otherwise("LONG")).otherwise("LONG"))
+    rate = F.when(inst == "EQ_OPTION", 0.8 + d * 4).when(inst == "CDS", 0.005 + d / 10).otherwise(0.01 + d)
+    extra = (
+        F.when(inst == "FX_FWD", F.when(cust % 2 == 1, "pair=USDINR").otherwise("pair=EURUSD")).when(inst == "CDS", F.concat(F.lit("reference="), name))
+        .when(inst == "EQ_OPTION", F.when(cust % 2 == 1, "underlying=EQ:IT;type=CALL").otherwise("underlying=EQ:MKT;type=PUT")))
+    pad = lambda c, n: F.lpad(F.col(c).cast("bigint").cast("string"), n, "0")
+    return j.select(
+        F.concat(F.lit("F"), pad("l_orderkey", 12)).alias("facility_id"), "instrument", F.to_date("l_shipdate").alias("trade_date"),
+        F.concat_ws("-", pad("l_linenumber", 2), pad("l_partkey", 12), pad("l_suppkey", 12), pad("l_quantity", 4), F.lpad(F.round(d * 100).cast("int").cast("string"), 3, "0")).alias("trade_id"),
+        party.alias("counterparty"), direction.alias("direction"), F.col("l_extendedprice").alias("notional"), rate.alias("rate"),
+        F.date_add(F.to_date(F.lit(BOOK_DATE)), (F.col("o_orderkey") % 3650 + 30).cast("int")).alias("maturity"),
+        F.when(F.col("l_linestatus") == "F", "SECURED").when(F.col("l_linenumber") % 2 == 1, "SENIOR_UNSECURED").otherwise("SUBORDINATED").alias("collateral"),
+        F.when(party == "UST", "USD").when((party == "GSEC") | (cust % 5 == 0), "INR").otherwise("USD").alias("currency"), extra.alias("extra"))

@@ -97,12 +97,12 @@ ISO = "CASE WHEN zc <= -6.0 THEN 0.01 " + " ".join(
 @query("f24_calibrated_impact", f"""WITH {S}, {IMPACT_SQL}, c AS (SELECT *, CASE cls WHEN 'CREDIT_EVENT' THEN -0.4 WHEN 'GEOPOLITICAL' THEN -1.1 ELSE -1.6 END + {fin.W_SENTIMENT} * (least(1.0, abs(sentiment)) - 0.5)
   + {fin.W_PUBLISHERS} * log2(1.0 + publishers) + {fin.W_SOCIAL} * log2(1.0 + least(32, social_authors)) + {fin.W_NOVELTY} * novelty / 100.0 + {fin.W_RELEVANCE} * relevance / 100.0 - 1.6 AS zc FROM imp),
  p AS (SELECT seq, CASE WHEN cls IN ('CREDIT_EVENT', 'GEOPOLITICAL') THEN {ISO} ELSE 1.0 / (1.0 + exp(-z)) END AS p, cls IN ('CREDIT_EVENT', 'GEOPOLITICAL') AS cal FROM c)
-SELECT seq, round(p, 6) AS p, greatest(1, least(10, ceil(10.0 * p - 1e-9)))::BIGINT AS impact, cal::BIGINT AS calibrated FROM p""")
+SELECT seq, round(p, 9) AS p, greatest(1, least(10, ceil(10.0 * p - 1e-9)))::BIGINT AS impact, cal::BIGINT AS calibrated FROM p""")
 def f24(spark, sf):
     """Class logits and a piecewise-linear map where the class has support; the prior elsewhere."""
     s = sig(spark, sf)
     c = risk.calibrated_score(MODEL, F.col("event"), F.col("subtype"), F.col("sentiment"), F.col("publishers"), F.col("social_authors"), F.col("authoritative"), F.col("novelty"), F.col("relevance"))
-    return s.select("seq", c.alias("c")).select("seq", r6("c.p").alias("p"), big("c.impact").alias("impact"), big(F.col("c.calibrated").cast("int")).alias("calibrated"))
+    return s.select("seq", c.alias("c")).select("seq", r6("c.p", 9).alias("p"), big("c.impact").alias("impact"), big(F.col("c.calibrated").cast("int")).alias("calibrated"))
 
 
 @query("f25_naive_impact", f"WITH {S} SELECT seq, greatest(1, least(10, round_even(10 * abs(sentiment), 0)))::BIGINT AS naive FROM signals")

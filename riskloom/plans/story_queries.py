@@ -38,14 +38,14 @@ def w01(spark, sf):
     return doc_rows(spark, sf).select("doc_id", "entity_id", big("similar").alias("similar"), big(neardup.novelty_of(F.col("similar"))).alias("novelty"))
 
 
-@query("j08_copy_sources", f"""WITH {BASE_SQL}, {PAIRS_SQL}, best AS (SELECT entity_id, doc_id, arg_min(a_doc, (-sim, a_t, a_doc)) AS near_doc FROM pr WHERE sim >= 0.8 GROUP BY ALL) SELECT entity_id, doc_id, near_doc FROM best""")
+@query("j08_copy_sources", f"""WITH {BASE_SQL}, {PAIRS_SQL}, bestn AS (SELECT entity_id, doc_id, arg_min(a_doc, (-sim, a_t, a_doc)) AS near_doc FROM pr WHERE sim >= 0.8 GROUP BY ALL) SELECT entity_id, doc_id, near_doc FROM bestn""")
 def j08(spark, sf):
     """Most similar earlier document (>= 0.8) per document and entity."""
     return doc_rows(spark, sf).filter(F.col("near").isNotNull()).select("entity_id", "doc_id", F.col("near.near_doc").alias("near_doc"))
 
 
-@query("f06_inherited_voices", f"""WITH RECURSIVE {BASE_SQL}, {PAIRS_SQL}, best AS MATERIALIZED (SELECT entity_id, doc_id, arg_min((a_doc, a_key, a_type), (-sim, a_t, a_doc)) AS n, any_value(source_type) AS st FROM pr WHERE sim >= 0.8 GROUP BY entity_id, doc_id),
- lk AS MATERIALIZED (SELECT entity_id, doc_id, n[1] AS parent, n[2] AS pkey FROM best WHERE st <> 'social' AND n[3] <> 'social'),
+@query("f06_inherited_voices", f"""WITH RECURSIVE {BASE_SQL}, {PAIRS_SQL}, bestn AS MATERIALIZED (SELECT entity_id, doc_id, arg_min((a_doc, a_key, a_type), (-sim, a_t, a_doc)) AS n, any_value(source_type) AS st FROM pr WHERE sim >= 0.8 GROUP BY entity_id, doc_id),
+ lk AS MATERIALIZED (SELECT entity_id, doc_id, n[1] AS parent, n[2] AS pkey FROM bestn WHERE st <> 'social' AND n[3] <> 'social'),
  walk AS (SELECT entity_id, doc_id, parent, pkey FROM lk UNION ALL SELECT w.entity_id, w.doc_id, l.parent, l.pkey FROM walk w JOIN lk l ON l.entity_id = w.entity_id AND l.doc_id = w.parent),
  root AS (SELECT entity_id, doc_id, pkey FROM walk w WHERE NOT EXISTS (SELECT 1 FROM lk l WHERE l.entity_id = w.entity_id AND l.doc_id = w.parent))
 SELECT base.entity_id, base.doc_id, coalesce(root.pkey, own_key) AS voice, coalesce(root.pkey <> own_key, false)::BIGINT AS syndicated FROM base LEFT JOIN root USING (entity_id, doc_id)""")
