@@ -47,6 +47,19 @@ def scoped_shocks(vectors: DataFrame, scenarios: DataFrame) -> DataFrame:
     return out.withColumn("systemic", F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.1), raw)), 3))
 
 
+RUN_SHOCKS = {"s_inr": "FX:USDINR", "s_in10": "IR:IN10Y", "s_eur": "FX:EURUSD", "s_vix": "VOL:VIX", "s_mkt": "EQ:MKT",
+              "s_ig": "CR:IG", "s_bbb": "CR:BBB", "s_hy": "CR:HY"}
+
+
+def _rate_at(pts: Column, years: Column) -> Column:
+    """Linear interpolation over the present tenors, flat outside, 0 without any."""
+    below = F.filter(pts, lambda p: p["t"] < years)
+    above = F.filter(pts, lambda p: p["t"] >= years)
+    a, b = F.get(below, F.size(below) - 1), F.get(above, F.lit(0))
+    return F.when(F.size(pts) == 0, 0.0).when(F.size(below) == 0, b["v"]).when(F.size(above) == 0, a["v"]).otherwise(
+        a["v"] + (b["v"] - a["v"]) * (years - a["t"]) / (b["t"] - a["t"]))
+
+
 def build_runs(requests: DataFrame, obligors: DataFrame, vectors: DataFrame, scenarios: DataFrame) -> DataFrame:
     """One row per (request, m): scaled shocks, systematic factor, overlay and epicentre attributes.
 
@@ -70,9 +83,14 @@ def build_runs(requests: DataFrame, obligors: DataFrame, vectors: DataFrame, sce
     share = F.when(F.col("ov.contagion") == "group", fin.GROUP_SHARE).otherwise(fin.CONTAGION_SHARE)
     defaulted = on & F.coalesce("subtype", F.lit("")).isin(*fin.DEFAULT_SUBTYPES) & (F.col("impact") >= F.col("ov.default_from")) & (m >= 0.5)
     own_move = F.coalesce(F.array_contains("epicenters", F.col("epicenter")), F.lit(False))
+    # what a position needs often becomes a plain column of the run; a missing tenor takes the value
+    # interpolated from the present ones, which leaves the curve unchanged
     rates = F.filter(F.array(*[F.struct(F.lit(t).alias("t"), F.try_element_at("shock", F.lit(f)).alias("v")) for t, f in fin.TENORS]), lambda p: p["v"].isNotNull())
+    flat = [F.coalesce(F.try_element_at("shock", F.lit(f)), F.lit(0.0)).alias(c) for c, f in RUN_SHOCKS.items()]
+    r = r.withColumn("rates", rates)
+    tenors = [_rate_at(F.col("rates"), F.lit(t)).alias(f"t{i}") for i, (t, _) in enumerate(fin.TENORS)]
     out = r.select(
-        "req_id", "scenario", "impact", "m", "mult", "z", "shock", "systemic", rates.alias("rates"), F.when(on, F.col("epicenter")).alias("epi_id"), F.col("epicenter"), "epi",
+        "req_id", "scenario", "impact", "m", "mult", "z", "shock", "systemic", *flat, *tenors, F.when(on, F.col("epicenter")).alias("epi_id"), F.col("epicenter"), "epi",
         F.when(on, n).otherwise(0).alias("epi_notches"),
         F.when(on, F.bround(n * share, 0).cast("int")).otherwise(0).alias("peer_notches"), F.col("ov.contagion").alias("contagion"),
         defaulted.alias("epi_defaults"), F.when(on & ~own_move, F.col("ov.equity") * m).otherwise(0.0).alias("equity_idio"), F.col("ov.bp").alias("bp_per_notch"))
@@ -97,34 +115,30 @@ def revalue(positions: DataFrame, runs: DataFrame) -> DataFrame:
     x = x.withColumn("hit", F.coalesce(named & is_epi, F.lit(False))).withColumn("peer", F.coalesce(named & (group_peer | sector_peer), F.lit(False)))
     x = x.withColumn("n", F.when(F.col("hit"), F.col("epi_notches")).when(F.col("peer"), F.col("peer_notches")).otherwise(0)).withColumn(
         "dflt", F.col("hit") & F.col("epi_defaults"))
-    shock = lambda k: F.coalesce(F.try_element_at("shock", k), F.lit(0.0))
     top = fin.NOTCH["D"]
-    bucket = F.get(F.array(*[F.lit(r.bucket) for r in rows]), F.col("notch"))
-    spread = shock(F.coalesce(bucket, F.lit("CR:BBB"))) + F.col("bp_per_notch") * F.col("n")
-    usdinr = shock(F.lit("FX:USDINR"))
-
-    def rate(pts: Column) -> Column:
-        below = F.filter(pts, lambda p: p["t"] < F.col("years"))
-        above = F.filter(pts, lambda p: p["t"] >= F.col("years"))
-        a, b = F.get(below, F.size(below) - 1), F.get(above, F.lit(0))
-        return F.when(F.size(pts) == 0, 0.0).when(F.size(below) == 0, b["v"]).when(F.size(above) == 0, a["v"]).otherwise(
-            a["v"] + (b["v"] - a["v"]) * (F.col("years") - a["t"]) / (b["t"] - a["t"]))
-
+    bucket = F.when(F.col("notch").isNull(), F.col("s_bbb")).when(F.col("notch") <= fin.NOTCH["A-"], F.col("s_ig")).when(
+        F.col("notch") <= fin.NOTCH["BBB-"], F.col("s_bbb")).otherwise(F.col("s_hy"))
+    spread = bucket + F.col("bp_per_notch") * F.col("n")
+    usdinr = F.col("s_inr")
     inr = F.col("currency") == "INR"
-    x = x.withColumn("r_at", rate(F.col("rates")))
-    dy_bp = F.when(inr, shock(F.lit("IR:IN10Y"))).otherwise(F.col("r_at")) + F.when(F.col("sovereign"), 0.0).otherwise(spread)
+    knots = [(t, F.col(f"t{i}")) for i, (t, _) in enumerate(fin.TENORS)]
+    r_at = F.when(F.col("years") <= knots[0][0], knots[0][1])
+    for (t0, v0), (t1, v1) in zip(knots, knots[1:]):
+        r_at = r_at.when(F.col("years") <= t1, v0 + (v1 - v0) * (F.col("years") - t0) / (t1 - t0))
+    x = x.withColumn("r_at", r_at.otherwise(knots[-1][1]))
+    dy_bp = F.when(inr, F.col("s_in10")).otherwise(F.col("r_at")) + F.when(F.col("sovereign"), 0.0).otherwise(spread)
     dy = dy_bp / 10_000.0
     b0 = F.col("v0") * (-F.col("mod_dur") * dy + 0.5 * F.col("convexity") * dy * dy)
     bond = F.when(F.col("dflt"), F.col("face") * (1.0 - F.col("lgd")) - F.col("v0")).otherwise(
         F.when(inr, b0 + (F.col("v0") + b0) * (1.0 / (1.0 + usdinr) - 1.0)).otherwise(b0))
-    fx = F.col("notional") * shock(F.when(F.col("pair") == "USDINR", "FX:USDINR").otherwise("FX:EURUSD")) * F.col("sign")
+    fx = F.col("notional") * F.when(F.col("pair") == "USDINR", F.col("s_inr")).otherwise(F.col("s_eur")) * F.col("sign")
     payout = F.col("notional") * F.col("lgd")
     cds = F.when(F.col("dflt"), F.when(F.col("bought"), payout).otherwise(-payout)).otherwise(F.col("cs01") * spread)
-    under = F.coalesce(F.try_element_at("shock", F.col("underlying")), shock(F.lit("EQ:MKT")))
+    under = F.coalesce(F.try_element_at("shock", F.col("underlying")), F.col("s_mkt"))
     ds = 100.0 * under
-    option = F.col("units") * (F.col("delta") * ds + 0.5 * F.col("gamma") * ds * ds + F.col("vega") * shock(F.lit("VOL:VIX")) / 100.0)
+    option = F.col("units") * (F.col("delta") * ds + 0.5 * F.col("gamma") * ds * ds + F.col("vega") * F.col("s_vix") / 100.0)
     own = F.try_element_at("shock", F.concat(F.lit("EQN:"), F.col("obligor_id")))
-    market = F.coalesce(F.try_element_at("shock", F.col("factor")), shock(F.lit("EQ:MKT"))) * F.col("beta")
+    market = F.coalesce(F.try_element_at("shock", F.col("factor")), F.col("s_mkt")) * F.col("beta")
     base_ret = F.coalesce(own, market)
     ret = F.greatest(F.lit(-1.0), F.when(F.col("dflt"), -0.95).when(F.col("obligor_id") == F.col("epicenter"), (1.0 + base_ret) * (1.0 + F.col("equity_idio")) - 1.0).otherwise(base_ret))
     equity = F.when(inr, F.col("value") * ((1.0 + ret) / (1.0 + usdinr) - 1.0)).otherwise(F.col("value") * ret)
@@ -144,7 +158,7 @@ def revalue(positions: DataFrame, runs: DataFrame) -> DataFrame:
     x = x.withColumn("n2", F.when(loan, F.least(F.col("n1") + risk.systematic_notches(pd1, pdz1, z), F.lit(top))))
     pd2 = by(pds, F.col("n2"))
     pdz2 = risk.stressed_pd(pd2, by(thr, F.col("n2")), by(sr, F.col("n2")), by(srr, F.col("n2")), z)
-    x = x.withColumn("pd2", pd2).withColumn("pds", F.when(z < 0, F.greatest(pd2, pdz2)).otherwise(pd2))
+    x = x.withColumn("pd2", pd2).withColumn("pds", F.when(loan & (z < 0), F.greatest(pd2, pdz2)).otherwise(pd2))
     x = x.withColumn("stage1", F.when(loan & F.col("dflt"), 3).when(loan, risk.stage_of(F.coalesce("orig_notch", "notch"), F.col("n2"))))
     ecl1 = F.when(loan & F.col("dflt"), F.col("lgd") * F.col("ead")).when(
         loan, risk.expected_loss(F.col("stage1"), F.col("pds"), F.col("lgd"), F.col("ead"), F.col("years"), F.col("pd2"))).otherwise(0.0)

@@ -77,16 +77,24 @@ def market_model(prices: DataFrame, market: str, vix: str | None = None, value:
     r = px.withColumn("r", gap_free)
     m = r.filter(F.col("series") == market).select("pos", F.col("r").alias("x"))
     both = r.filter(F.col("series") != market).select("series", "date", "pos", "r").join(m, "pos", "left")
-    rng = w.rangeBetween(*ESTIMATION)
     y, x = F.col("r"), F.col("x")
     pair = y.isNotNull() & x.isNotNull()
-    yy, xx = F.when(pair, y), F.when(pair, x)
-    out = both.select(
-        "series", "date", "pos", "r", "x", F.count(yy).over(rng).alias("n"), F.regr_slope(yy, xx).over(rng).alias("beta"),
-        F.regr_intercept(yy, xx).over(rng).alias("alpha"), F.regr_syy(yy, xx).over(rng).alias("syy"), F.regr_sxx(yy, xx).over(rng).alias("sxx"),
+    terms = {"n": F.lit(1.0), "sx": x, "sy": y, "sxy": x * y, "sxx": x * x, "syy": y * y}
+    # running sums once per row; a window is the difference of two of them, whatever its length
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    cum = both.withColumn("cum", F.struct(*[F.sum(F.when(pair, v).otherwise(0.0)).over(upto).alias(k) for k, v in terms.items()]))
+    at = cum.withColumn("hi", F.last("cum").over(w.rangeBetween(Window.unboundedPreceding, ESTIMATION[1]))).withColumn(
+        "lo", F.last("cum").over(w.rangeBetween(Window.unboundedPreceding, ESTIMATION[0] - 1)))
+    d = {k: F.col(f"hi.{k}") - F.coalesce(F.col(f"lo.{k}"), F.lit(0.0)) for k in terms}
+    n = F.when(d["n"] > 0, d["n"])
+    cxx, cyy, cxy = d["sxx"] - d["sx"] * d["sx"] / n, d["syy"] - d["sy"] * d["sy"] / n, d["sxy"] - d["sx"] * d["sy"] / n
+    beta = cxy / F.when(cxx > 0, cxx)
+    out = at.select(
+        "series", "date", "pos", "r", "x", F.coalesce(d["n"], F.lit(0.0)).cast("bigint").alias("n"), beta.alias("beta"),
+        ((d["sy"] - beta * d["sx"]) / n).alias("alpha"), cyy.alias("syy"), cxx.alias("sxx"),
         F.stddev_pop("r").over(w.rangeBetween(-GAP_ROWS, -1)).alias("vol20"),
         F.first("r").over(w.rangeBetween(1, 1)).alias("r1"), F.first("x").over(w.rangeBetween(1, 1)).alias("x1"))
-    resid = F.sqrt(F.greatest((F.col("syy") - F.col("beta") * F.col("beta") * F.col("sxx")), F.lit(0.0)) / (F.col("n") - 2))
+    resid = F.sqrt(F.greatest((F.col("syy") - F.col("beta") * F.col("beta") * F.col("sxx")), F.lit(0.0)) / F.when(F.col("n") > 2, F.col("n") - 2))
     out = out.withColumn("s_e", resid)
     if vix:
         v = px.filter(F.col("series") == vix).select((F.col("pos") + 1).alias("pos"), F.col(value).alias("vix"))
