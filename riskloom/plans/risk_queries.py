@@ -116,9 +116,9 @@ def f32(spark, sf):
     return positions(spark, sf).filter("asset_class = 'Loans'").select("pos_id", big("stage0").alias("stage"), F.round("ecl0", 3).alias("ecl"))
 
 
-@query("f38_risk_weighted", f"WITH {BOOK} SELECT facility_id AS pos_id, round(rwa0, 4) AS rwa FROM p1")
+@query("f38_risk_weighted", f"WITH {BOOK} SELECT facility_id AS pos_id, round(rwa0, 7) AS rwa FROM p1")
 def f38(spark, sf):
-    return positions(spark, sf).select("pos_id", F.round("rwa0", 4).alias("rwa"))
+    return positions(spark, sf).select("pos_id", F.round("rwa0", 7).alias("rwa"))
 
 
 @query("a14_book_summary", f"WITH {BOOK} SELECT ac AS asset_class, count(*) AS positions, round(sum(v0), 1) AS value FROM p1 GROUP BY 1")
@@ -218,10 +218,11 @@ def m14(spark, sf):
     return c.select("req_id", "m", F.round("ecl_before", 1).alias("ecl_before"), F.round("ecl_after", 1).alias("ecl_after"), F.round("pre_tax_loss", 0).alias("pre_tax_loss"), F.round("rwa_after", 0).alias("rwa_after"), r6("cet1_ratio").alias("cet1_ratio"))
 
 
-@query("f37_revaluation", f"WITH {STRESS} SELECT rid AS req_id, m, facility_id AS pos_id, round(pnl, 4) AS pnl FROM st WHERE m = 1.0 AND ac <> 'Loans'")
+@query("f37_revaluation", f"WITH {STRESS} SELECT rid AS req_id, m, inst AS instrument, sector, count(*) AS positions, round(sum(pnl), 1) AS pnl FROM st WHERE ac <> 'Loans' GROUP BY ALL")
 def f37(spark, sf):
-    """Value change per position and request."""
-    return stressed(spark, sf).filter("m = 1.0 AND asset_class <> 'Loans'").select("req_id", "m", "pos_id", F.round("pnl", 4).alias("pnl"))
+    """Value change by instrument and sector per run."""
+    r = stressed(spark, sf).filter("asset_class <> 'Loans'").groupBy("req_id", "m", "instrument", "sector").agg(F.count("*").alias("positions"), F.round(F.sum("pnl"), 1).alias("pnl"))
+    return r.select("req_id", "m", "instrument", "sector", "positions", "pnl")
 
 
 @query("f31_migration", f"WITH {STRESS} SELECT rid AS req_id, facility_id AS pos_id, CASE WHEN df THEN 17 ELSE n2 END::BIGINT AS notch, s1::BIGINT AS stage FROM st WHERE m = 1.0 AND ac = 'Loans'")
