@@ -260,7 +260,7 @@ def w07(spark, sf):
 
 @query("a12_tilt_index", f"""WITH {S}, {HYST_SQL}, e AS (SELECT *, CASE WHEN ok AND novelty >= 50 THEN relevance / 100.0 * greatest(sent_conf, 0.05) * (1 + log2(1 + publishers)) ELSE 0 END AS w, (ok AND novelty >= 50)::INT AS cnt FROM q),
  pr AS (SELECT u.seq AS useq, u.t AS now, s.cluster_id, max(s.seq) AS sseq FROM e u JOIN e s ON s.ticker = u.ticker AND s.seq <= u.seq GROUP BY ALL),
- st AS (SELECT useq, now, e.*, now - e.t AS age FROM pr JOIN e ON e.seq = pr.sseq WHERE now - e.t <= 864000)
+ st AS (SELECT useq, now, e.*, now - e.t AS age FROM pr JOIN e ON e.seq = pr.sseq)
 SELECT useq AS seq, round(CASE WHEN sum(w) > 0 THEN sum(w * exp(-{LAM!r} * greatest(age, 0)) * sentiment) / sum(w * exp(-{LAM!r} * greatest(age, 0))) ELSE 0 END, 6) AS index_value, sum(cnt)::BIGINT AS stories FROM st GROUP BY useq""")
 def a12(spark, sf):
     """Tilt index per name at each of its updates."""
