@@ -309,7 +309,7 @@ def f09(spark, sf):
 
 PERM = "[" + ", ".join(f"{{'a': {a}::BIGINT, 'b': {b}::BIGINT}}" for a, b in mh.permutations()) + "]"
 SIG_SQL = f"""hs AS (SELECT *, list_transform(sh, lambda s: ('0x' || substr(md5(s), 1, 8))::BIGINT) AS hh FROM tok2),
-sig AS (SELECT *, CASE WHEN len(hh) = 0 THEN list_transform(range(64), lambda i: {mh.MASK}::BIGINT) ELSE
+sig AS MATERIALIZED (SELECT *, CASE WHEN len(hh) = 0 THEN list_transform(range(64), lambda i: {mh.MASK}::BIGINT) ELSE
   list_transform({PERM}, lambda p: list_min(list_transform(hh, lambda h: ((p.a * h + p.b) % {mh.PRIME}) & {mh.MASK}))) END AS s FROM hs)"""
 
 
@@ -319,7 +319,7 @@ def f10(spark, sf):
     return t.select("doc_id", F.md5(joined(F.col("s"))).alias("h"), F.get("s", F.lit(0)).alias("first_slot"))
 
 
-@query("f12_band_candidates", f"""WITH {FEED}, {TOKENS_SQL}, {SIG_SQL}, b AS (SELECT DISTINCT i AS band, array_to_string(s[i*4+1:i*4+4], ',') AS k, array_to_string(tk, ' ') AS txt FROM sig, range(16) r(i) WHERE len(tk) > 0)
+@query("f12_band_candidates", f"""WITH {FEED}, {TOKENS_SQL}, {SIG_SQL}, b AS MATERIALIZED (SELECT DISTINCT i AS band, array_to_string(s[i*4+1:i*4+4], ',') AS k, array_to_string(tk, ' ') AS txt FROM sig, range(16) r(i) WHERE len(tk) > 0)
 SELECT count(*) AS pairs FROM (SELECT DISTINCT x.txt, y.txt FROM b x JOIN b y USING (band, k) WHERE x.txt < y.txt)""")
 def f12(spark, sf):
     """Banded candidate pairs between distinct key texts (16 bands of 4 slots)."""
