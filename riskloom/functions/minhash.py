@@ -48,7 +48,6 @@ def similarity(a: Column, b: Column) -> Column:
 def band_keys(sig: Column, bands: int = 16, n: int = PERMUTATIONS) -> Column:
     """array<string> of one key per band; two texts are candidates when a key is shared."""
     rows = n // bands
-    return F.transform(
+    return let(sig, lambda v: F.transform(
         F.sequence(F.lit(0), F.lit(bands - 1)),
-        lambda b: F.concat_ws(":", b.cast("string"), F.concat_ws(",", F.slice(sig, b * rows + 1, rows).cast("array<string>"))),
-    )
+        lambda b: F.concat_ws(":", b.cast("string"), F.concat_ws(",", F.slice(v, b * rows + 1, rows).cast("array<string>")))))

@@ -10,7 +10,7 @@ from riskloom.dims.text_rules import FILING_ITEMS, FINANCE, FINGERPRINT_STOP_WOR
 from riskloom.functions import minhash as mh, risk, text as tx, voices
 from riskloom.operators import evaluate, labels, mentions, train
 from riskloom.plans.registry import big, joined, query, r6, secs, staged
-from riskloom.session import spread
+from riskloom.session import cut, spread
 from riskloom.sources import documents as src, tables as ref
 
 DIMS, FEED = corpus.DIMS, corpus.FEED_SQL
@@ -324,7 +324,8 @@ SELECT count(*) AS pairs FROM (SELECT DISTINCT x.txt, y.txt FROM b x JOIN b y US
 def f12(spark, sf):
     """Banded candidate pairs between distinct key texts (16 bands of 4 slots)."""
     t = feed_text(spark, sf).select(F.concat_ws(" ", tx.tokens(F.col("key_text"), FINANCE.stop)).alias("txt")).distinct().filter("txt <> ''")
-    b = t.select("txt", F.explode(mh.band_keys(mh.signature(tx.shingles(F.split("txt", " "))))).alias("k"))
+    signed = cut(t.withColumn("tk", F.split("txt", " ")).select("txt", mh.signature(tx.shingles(F.col("tk"))).alias("sig")))
+    b = signed.select("txt", F.explode(mh.band_keys(F.col("sig"))).alias("k"))
     pairs = b.alias("x").join(b.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.txt") < F.col("y.txt"))).select("x.txt", F.col("y.txt").alias("other")).distinct()
     return pairs.agg(F.count("*").alias("pairs"))
 
