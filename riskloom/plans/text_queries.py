@@ -609,9 +609,7 @@ def u02(spark, sf):
     d = spread(feed_text(spark, sf))
     lk = mentions.Linker(corpus.ENTITIES, DIMS)
     pred = lk.link(d).select("doc_id", F.explode_outer("mentions.ent").alias("ent")).filter("ent is not null")
-    hits = d.select("doc_id", F.explode_outer(tx.starts_and_names(F.col("text"), tx.alias_pattern(list(lk.aliases)))).alias("h")).filter("h is not null")
     raw = d.select("doc_id", F.explode_outer(lk.hits(F.col("text"), F.col("title"), F.lit("news"), F.lit(None).cast("string"))).alias("h")).filter("h is not null").select("doc_id", "h.ent")
-    del hits
     both = raw.intersect(pred).agg(F.count("*").alias("both_sets"))
     gone = raw.distinct().exceptAll(pred.distinct()).agg(F.count("*").alias("dropped"))
     return both.join(F.broadcast(gone))

@@ -22,11 +22,11 @@ def feed(seed, n=160, entities=3, classes=("CREDIT_EVENT", "MACROECONOMIC", "OTH
     return rows
 
 
-def sequential(rows, denied=()):
-    """Reference rule, one document at a time; ``denied``: doc ids whose row closes the story of that doc."""
-    open_, out, closed = {}, {}, set()
+def sequential(rows):
+    """The story rule, one document at a time."""
+    open_, out = {}, {}
     for ent, t, doc, ev in sorted(rows, key=lambda r: (r[1], r[2])):
-        live = [s for s in open_.get(ent, []) if t - s["seen"] <= timedelta(hours=24) and s["id"] not in closed]
+        live = [s for s in open_.get(ent, []) if t - s["seen"] <= timedelta(hours=24)]
         live.sort(key=lambda s: s["seen"], reverse=True)
         recent = [s for s in live if t - s["seen"] <= timedelta(hours=6)]
         if ev == "OTHER":
@@ -39,8 +39,6 @@ def sequential(rows, denied=()):
         hit["cls"].add(ev)
         hit["seen"] = t
         out[ent, doc] = hit["id"]
-        del denied
-        denied = ()
     return out
 
 
