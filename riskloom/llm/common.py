@@ -18,7 +18,9 @@ from riskloom.session import new_path
 #: Words are runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Entries that a Python worker's memo keeps at most; more words are computed again, never dropped.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 1_000_000
+#: Characters of text that are cut into pieces at a time, and new pieces that are encoded at a time.
+GROUP_CHARS, GROUP_PIECES = 1 << 20, 512
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,10 +68,27 @@ class TextEncoder:
         self.spaces, self.dtype, self.memo = spaces, f"<u{width}", {}
         self.odd = re.compile(r"[ \n][ \n]|[^\S \n]") if spaces == "leading" else re.compile(r"[^\S \t\n\r]")
 
-    def _fresh(self, raw: list[str]) -> list[bytes]:
+    def _whole(self, text: str) -> bytes:
         import numpy as np
 
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(raw, add_special_tokens=False)]
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _fresh(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces: many are encoded as one string and told apart by where each token starts."""
+        import numpy as np
+
+        out: list[bytes] = []
+        for at in range(0, len(pieces), GROUP_PIECES):
+            group = pieces[at: at + GROUP_PIECES]
+            apart = [self._apart(p) for p in group]
+            raw = [r for r, _ in apart]
+            e = self.tokenizer.encode("".join(raw), add_special_tokens=False)
+            ids, starts = np.array(e.ids, self.dtype), np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids))
+            ends = np.cumsum([len(r) for r in raw])
+            low = np.searchsorted(starts, ends - [len(r) - skip for r, skip in apart])
+            high = np.searchsorted(starts, ends)
+            out += [ids[x:y].tobytes() for x, y in zip(low.tolist(), high.tolist(), strict=True)]
+        return out
 
     def _pieces(self, text: str) -> list[str] | None:
         if self.spaces == "whole" or self.odd.search(text):
@@ -79,42 +98,45 @@ class TextEncoder:
         first, *rest = text.replace("\n", " \n").split(" ")
         return ["\r" + first, *rest]   # \r marks the piece without a space before it; texts that hold one are odd
 
-    def _raw(self, piece: str) -> str:
-        if self.spaces == "dropped" or piece[:1] == "\n":
-            return piece
-        return piece[1:] if piece[:1] == "\r" else " " + piece
+    def _apart(self, piece: str) -> tuple[str, int]:
+        """The piece as it stands between others, and how many characters of that come before it."""
+        if self.spaces == "dropped":
+            return piece + " ", 0
+        if piece[:1] == "\n":
+            return piece, 0
+        return ("\n" + piece[1:], 1) if piece[:1] == "\r" else (" " + piece, 0)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned integers of the chosen width."""
+        out: list[bytes] = []
+        group: list[str] = []
+        chars = 0
+        for t in texts:
+            group.append(t)
+            chars += len(t)
+            if chars >= GROUP_CHARS:
+                out += self._group(group)
+                group, chars = [], 0
+        return out + self._group(group)
+
+    def _group(self, texts: list[str]) -> list[bytes]:
         cut = [self._pieces(t) for t in texts]
-        whole = [i for i, c in enumerate(cut) if c is None]
-        missing: set[str] = set()
-        for c in cut:
-            if c is not None:
-                missing.update(c)
-        new = list(missing.difference(self.memo))
-        table = self.memo
-        if new:
-            fresh = dict(zip(new, self._fresh([self._raw(p) for p in new]), strict=True))
+        found = [None if c is None else list(map(self.memo.get, c)) for c in cut]
+        missing: dict[str, None] = {}
+        for c, f in zip(cut, found, strict=True):
+            if f is not None and None in f:
+                missing.update((p, None) for p, x in zip(c, f, strict=True) if x is None)
+        fresh: dict[str, bytes] = {}
+        if missing:
+            # pieces of white space alone only end a text
+            blank = [p for p in missing if p in ("", "\n", "\r")]
+            fresh = {p: b"" if p == "\r" or self.spaces == "dropped" else self._whole(p or " ") for p in blank}
+            new = [p for p in missing if p not in fresh]
+            fresh.update(zip(new, self._fresh(new), strict=True))
             if len(self.memo) + len(fresh) <= MEMO_ENTRIES:
                 self.memo.update(fresh)
-            else:
-                table = _Both(fresh, self.memo)
-        out = [b"" if c is None else b"".join(map(table.__getitem__, c)) for c in cut]
-        for i, ids in zip(whole, self._fresh([texts[i] for i in whole]) if whole else [], strict=True):
-            out[i] = ids
-        return out
-
-
-class _Both(dict):
-    """A batch's own entries over a full memo."""
-
-    def __init__(self, own: dict, memo: dict):
-        super().__init__(own)
-        self.under = memo
-
-    def __missing__(self, key):
-        return self.under[key]
+        return [self._whole(t) if f is None else b"".join([fresh[p] if x is None else x for p, x in zip(c, f, strict=True)] if None in f else f)
+                for t, c, f in zip(texts, cut, found, strict=True)]
 
 
 def kept_by_worker(name: object, make: Callable[[], object]):
