@@ -53,8 +53,9 @@ class TextEncoder:
     """Whole texts to token ids by a tokenizer file, through a memo of the pieces between white space.
 
     ``spaces`` says what the tokenizer does with white space, which is what makes pieces independent of their
-    neighbours: ``dropped`` (pieces never hold it), ``leading`` (a single space belongs to the word after it; texts with
-    other white space go to the tokenizer whole) or ``whole`` (nothing is known: every text goes to it whole).
+    neighbours: ``dropped`` (pieces never hold it, letters are taken in lower case, and runs of letters, digits and other
+    characters are apart), ``leading`` (a single space belongs to the word after it; texts with other white space go to
+    the tokenizer whole) or ``whole`` (nothing is known: every text goes to it whole).
     """
 
     def __init__(self, path: str, spaces: str, width: int):
@@ -66,7 +67,9 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaces, self.dtype, self.memo = spaces, f"<u{width}", {}
-        self.odd = re.compile(r"[ \n][ \n]|[^\S \n]") if spaces == "leading" else re.compile(r"[^\S \t\n\r]")
+        # white space that is no single space or line end; or that, and letters whose lower case depends on their place
+        self.odd = re.compile(r"[ \n][ \n]|[^\S \n]") if spaces == "leading" else re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u03a3\u0130]")
+        self.runs = re.compile(r"[.,](?:(?=[^\w\s]|_)|(?<=[^\w\s][.,])|(?<=_[.,]))")   # stops and commas that belong to a longer run
 
     def _whole(self, text: str) -> bytes:
         import numpy as np
@@ -94,7 +97,8 @@ class TextEncoder:
         if self.spaces == "whole" or self.odd.search(text):
             return None
         if self.spaces == "dropped":
-            return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            text = text.lower().replace("\n", " ").replace("\t", " ").replace("\r", " ")
+            return (text if self.runs.search(text) else text.replace(".", " . ").replace(",", " , ")).split(" ")
         first, *rest = text.replace("\n", " \n").split(" ")
         return ["\r" + first, *rest]   # \r marks the piece without a space before it; texts that hold one are odd
 

@@ -58,18 +58,18 @@ def components(links: DataFrame) -> DataFrame:
     a round's result is written before the next.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    last = None
-    while True:
+    while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         edges = written(small, "edges")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("u", "v"), 20))).first())
-        if now == last:
+        # done when all are stars: an id hangs under one other, which hangs under none
+        seen = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+            edges.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if seen.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty():
             break
-        last = now
     leaves = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return written(leaves.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), "components")
 
@@ -163,8 +163,9 @@ def similar_components(lists: DataFrame, sets: DataFrame, percent: int = 80) ->
     for best in (BEST, 0):
         tried = written(_candidates(_blocks(todo, found, sigs), best, percent), "candidates")
         pairs = tried.where("a IS NOT NULL").select("a", "b").distinct()
-        if not pairs.isEmpty():
-            links = links.unionByName(written(verified(pairs, sets, percent), "links"))
+        new = written(verified(pairs, sets, percent), "links")
+        if not new.isEmpty():
+            links = links.unionByName(new)
             found = components(links)
         more = tried.where("more IS NOT NULL").select(F.col("more").alias("key")).distinct()
         if more.isEmpty():

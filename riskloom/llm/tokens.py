@@ -93,8 +93,8 @@ def count_ids(encoded: DataFrame, width: int) -> DataFrame:
 
         total = np.zeros(0, np.int64)
         for b in batches:
-            for ids in b.column(0).to_pylist():
-                n = np.bincount(np.frombuffer(ids, f"<u{width}"))
+            for at in range(0, b.num_rows, 512):   # documents counted at a time
+                n = np.bincount(np.frombuffer(b"".join(b.column(0).slice(at, 512).to_pylist()), f"<u{width}"))
                 if len(n) > len(total):
                     total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
                 total[: len(n)] += n

@@ -25,7 +25,7 @@ def test_memoised_encoding_equals_the_tokenizer(path, spaces):
     from riskloom.llm.common import TextEncoder
 
     r = random.Random(5)
-    bits = ["a", "it's", "don't", " ", "  ", "\n", "\n\n", "\t", "\r\n", " ", "\x1c", " ", "9", "42", "!", "?!", "é", "é", "你好", "\U0001f600", "ΣΣ", "<|endoftext|>", "WORD", "\x00", "'s"]
+    bits = ["a.", ",b", "._", ".9", "\u0301.", "\u0130", "a", "it's", "don't", " ", "  ", "\n", "\n\n", "\t", "\r\n", " ", "\x1c", " ", "9", "42", "!", "?!", "é", "é", "你好", "\U0001f600", "ΣΣ", "<|endoftext|>", "WORD", "\x00", "'s"]
     texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 14))) for _ in range(3000)]
     texts += [" x", "x ", "\nx", "x\n", " ", "", "\n", "a b c", "a\nb", "a \nb", "a\n b"]
     enc = TextEncoder(path, spaces, 4)
