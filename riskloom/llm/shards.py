@@ -4,8 +4,9 @@ Documents are vertices with a size; links come as pairs. All linked vertices sta
 each round a vertex counts its neighbours' weight by shard (one join of the links with the current labels, combined
 before the shuffle) and asks to move to the shard that holds more of it than its own. The driver sees one row per
 (from, to, gain bucket) and grants each pair of shards what both directions ask for plus the room under the target's
-quota, highest gains first; inside the last bucket that fits in part, a hash decides. Half of the vertices, others
-each round, may move, so two neighbours do not swap places for ever. Cut links only fall by moves that were granted, and no shard ends
+quota, highest gains first; inside the last bucket that fits in part, a hash decides. In even rounds a vertex may
+only follow its smallest neighbour, in odd rounds one half of all may move, others each time, so two neighbours do not
+swap places for ever. Cut links only fall by moves that were granted, and no shard ends
 a round above its quota by more than one bucket's rounding.
 
 Documents without links fill the shards up to equal sizes: their sizes are summed by hash bucket (a fixed number of
@@ -33,19 +34,21 @@ def _hash(seed: int, *cols: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols, F.lit(seed)), 33)
 
 
-def propose(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """id, size, shard, target, gain of the vertices that would rather be in another shard."""
+def propose(labels: DataFrame, links: DataFrame, k: int) -> DataFrame:
+    """id, size, shard of all vertices, and target and bucket (of the gain) of those that would rather be elsewhere and may move."""
     there = labels.select(F.col("id").alias("dst"), F.col("shard").alias("there"))
-    pull = links.join(there, "dst").groupBy(F.col("src").alias("id"), "there").agg(F.sum("weight").alias("pull"))
-    best = pull.groupBy("id").agg(F.max_by(F.struct("there", "pull"), F.struct("pull", -F.col("there"))).alias("best"), F.map_from_entries(F.collect_list(F.struct("there", "pull"))).alias("pulls"))
-    asked = labels.join(best, "id").select(
-        "id", "size", "shard", F.col("best.there").alias("target"),
-        (F.col("best.pull") - F.coalesce(F.try_element_at("pulls", F.col("shard")), F.lit(0))).alias("gain"))
-    return asked.where("target <> shard AND gain > 0")
+    pull = links.join(there, "dst").groupBy(F.col("src").alias("id"), "there").agg(F.sum("weight").alias("pull"), F.min("dst").alias("dst"))
+    best = pull.groupBy("id").agg(F.max_by(F.struct("there", "pull"), F.struct("pull", -F.col("there"))).alias("best"), F.map_from_entries(F.collect_list(F.struct("there", "pull"))).alias("pulls"), F.min(F.struct("dst", "there")).alias("first"))
+    gain = F.col("best.pull") - F.coalesce(F.try_element_at("pulls", F.col("shard")), F.lit(0))
+    # even rounds move towards a smaller neighbour only, which no two do to each other; odd rounds move one half of all
+    turn = (F.pmod(_hash(100 + k, "id"), F.lit(2)) == 0) if k % 2 else (F.col("first.dst") < F.col("id")) & (F.col("first.there") == F.col("best.there"))
+    wish = (F.col("best.there") != F.col("shard")) & (gain > 0) & turn
+    bucket = F.least(F.lit(GAINS - 1), F.floor(F.log2(gain)).cast("int"))
+    return labels.join(best, "id", "left").select("id", "size", "shard", F.when(wish, F.col("best.there")).alias("target"), F.when(wish, bucket).alias("bucket"))
 
 
-def grant(asked: list, load: list[int], quota: float) -> dict[tuple[int, int], tuple[int, float]]:
-    """(from, to) -> (lowest gain bucket that moves in full, part of the bucket below that moves).
+def grant(asked: list, load: list[int], quota: float) -> dict[tuple[int, int], tuple[int, int, float]]:
+    """(from, to) -> (lowest gain bucket that moves in full, the next one, the part of that which moves).
 
     ``asked``: rows of (shard, target, bucket, size); at most shards^2 * GAINS of them.
     """
@@ -60,19 +63,19 @@ def grant(asked: list, load: list[int], quota: float) -> dict[tuple[int, int], t
         back = wish.get((b, a), 0)
         extra = max(0, n - back)
         budget = min(n, back) + (min(1.0, room[b] / over[b]) * extra if over[b] else 0)
-        full, part = GAINS, 0.0
+        full, edge, part = GAINS, -1, 0.0
         for g in sorted(by[a, b], reverse=True):
             if by[a, b][g] <= budget:
                 budget -= by[a, b][g]
                 full = g
             else:
-                part = budget / by[a, b][g]
+                edge, part = g, budget / by[a, b][g]
                 break
-        out[a, b] = (full, part)
+        out[a, b] = (full, edge, part)
     return out
 
 
-def propagate(vertices: DataFrame, links: DataFrame, shards: int, quota: float, rounds: int = 12, least: float = 0.002) -> DataFrame:
+def propagate(vertices: DataFrame, links: DataFrame, shards: int, quota: float, rounds: int = 8, least: float = 0.002) -> DataFrame:
     """id, size, shard of linked vertices; ``links``: src, dst, weight in both directions.
 
     Stops after ``rounds``, or when under ``least`` of the linked size was granted a move in two rounds running.
@@ -80,20 +83,19 @@ def propagate(vertices: DataFrame, links: DataFrame, shards: int, quota: float,
     labels = written(vertices.select("id", "size", F.pmod(_hash(0, "id"), F.lit(shards)).cast("int").alias("shard")), "labels")
     quiet = 0
     for k in range(rounds):
-        load = [0] * shards
-        for r in labels.groupBy("shard").agg(F.sum("size").alias("n")).collect():   # one row per shard
-            load[r["shard"]] = r["n"]
-        turn = propose(labels, links).where(F.pmod(_hash(100 + k, "id"), F.lit(2)) == 0)
-        turn = written(turn.withColumn("bucket", F.least(F.lit(GAINS - 1), F.floor(F.log2(F.col("gain"))).cast("int"))), "moves")
-        asked = [tuple(r) for r in turn.groupBy("shard", "target", "bucket").agg(F.sum("size").alias("n")).collect()]
+        round_ = written(propose(labels, links, k), "round")
+        sums = [tuple(r) for r in round_.groupBy("shard", "target", "bucket").agg(F.sum("size").alias("n")).collect()]
+        load = [sum(r[3] for r in sums if r[0] == a) for a in range(shards)]
+        asked = [r for r in sums if r[1] is not None]
         grants = grant(asked, load, quota)
-        moved = sum(n for a, b, g, n in asked if g >= grants[a, b][0])
-        quiet = quiet + 1 if moved <= least * sum(load) else 0
         if grants:
-            table = labels.sparkSession.createDataFrame([(a, b, full, float(part)) for (a, b), (full, part) in grants.items()], "shard int, target int, full int, part double")
+            pair = F.col("shard") * shards + F.col("target")
+            table = lambda i: F.try_element_at(F.create_map(*[F.lit(x) for (a, b), g in grants.items() for x in (a * shards + b, g[i])]), pair)
             chance = _hash(2 + k, "id") / F.lit(float(1 << 31))
-            go = turn.join(F.broadcast(table), ["shard", "target"]).where((F.col("bucket") >= F.col("full")) | ((F.col("bucket") == F.col("full") - 1) & (chance < F.col("part"))))
-            labels = written(labels.join(go.select("id", F.col("target").alias("to")), "id", "left").select("id", "size", F.coalesce("to", "shard").alias("shard")), "labels")
+            go = (F.col("bucket") >= table(0)) | ((F.col("bucket") == table(1)) & (chance < table(2)))
+            labels = round_.select("id", "size", F.when(go, F.col("target")).otherwise(F.col("shard")).alias("shard"))
+        moved = sum(n if g >= grants[a, b][0] else n * grants[a, b][2] * (g == grants[a, b][1]) for a, b, g, n in asked)
+        quiet = quiet + 1 if moved <= least * sum(load) else 0
         if quiet >= 2:
             break
     return labels
@@ -155,7 +157,7 @@ def equal_text_links(docs: DataFrame) -> DataFrame:
         F.struct(F.col("doc_id").alias("src"), F.col("hub").alias("dst")), F.struct(F.col("hub").alias("src"), F.col("doc_id").alias("dst")))).alias("e")).select("e.src", "e.dst", F.lit(1).alias("weight"))
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 12) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 8) -> DataFrame:
     """doc_id, size (bytes of the text plus 1), text_crc32, shard, slot: sizes near equal, equal texts together where they fit."""
     raw = F.coalesce(F.encode(F.col("text"), "UTF-8"), F.lit(b""))
     light = written(identified(docs).select(

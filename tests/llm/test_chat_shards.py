@@ -62,7 +62,7 @@ def test_shards_are_even_numbered_and_keep_groups(spark):
     for g in by(got, lambda x: x.shard).values():
         assert sorted(x.slot for x in g) == list(range(len(g)))
     groups = by([x for x in got if (texts[x.doc_id] or "").startswith("copy")], lambda x: texts[x.doc_id])
-    assert sum(len({x.shard for x in g}) == 1 for g in groups.values()) >= 57
+    assert sum(len({x.shard for x in g}) == 1 for g in groups.values()) >= 54
     hot = by([x for x in got if (texts[x.doc_id] or "").startswith("hot")], lambda x: x.shard)
     assert max(len(g) for g in hot.values()) > 1500 / 6   # as much together as a shard may hold
 
@@ -72,7 +72,7 @@ def test_links_between_other_documents(spark):
     v = spark.createDataFrame([(k, 10) for k in range(200)], "id bigint, size bigint")
     ring = [(base + k, base + (k + 1) % 20, 1) for base in range(0, 200, 20) for k in range(20)]
     links = spark.createDataFrame([(a, b, w) for a, b, w in ring] + [(b, a, w) for a, b, w in ring], "src bigint, dst bigint, weight int")
-    at = {r.id: r.shard for r in shards.propagate(v, links, 2, 1100, rounds=12, least=0.0).collect()}
+    at = {r.id: r.shard for r in shards.propagate(v, links, 2, 1100, rounds=8, least=0.0).collect()}
     start = {r.id: r.shard for r in shards.propagate(v, links, 2, 1100, rounds=0).collect()}
     cut = lambda m: sum(m[a] != m[b] for a, b, _ in ring)
     assert cut(at) < 0.6 * cut(start)
