@@ -92,9 +92,9 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """
     ids = identified(docs).groupBy("doc_id").agg(F.max(F.length(F.coalesce("text", F.lit("")))).cast("bigint").alias("n_chars"))
     order = previous(ids)
-    copy = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    base = fingerprints(docs).withColumn("copy", copy)
-    heads = base.where("copy = 1").join(order, "doc_id").select(
+    base = fingerprints(docs).repartition("doc_id")   # one exchange, which both sides of the join below read
+    earlier = F.lag("doc_id").over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    heads = base.withColumn("earlier", earlier).where("earlier IS NULL").join(order, "doc_id").select(
         F.col("prev_id").alias("doc_id"), F.substring("text", F.lit(1), F.floor(F.col("prev_chars") / 4).cast("int")).alias("head"), F.col("sketch").alias("next_sketch"))
     n, quarter = F.length("text"), F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("head", F.lit(1), quarter))
