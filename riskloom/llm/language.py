@@ -81,8 +81,9 @@ def labelled_sample(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
     rows = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").where(~held_out(F.col("doc_id")))
     rows = rows.where(F.col("text").rlike(r"\p{L}"))
     parts = rows.groupBy("lang").agg((F.lit(per_language) / F.count("*")).alias("part")).withColumnRenamed("lang", "of")
+    # parts has one row per language
     chance = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(8)), 33) / F.lit(float(1 << 31))
-    picked = rows.join(F.broadcast(parts), F.col("lang") == F.col("of"))   # one row per language.where(chance < F.col("part")).select("lang", "text")
+    picked = rows.join(F.broadcast(parts), F.col("lang") == F.col("of")).where(chance < F.col("part")).select("lang", "text")
 
     def run(batches):
         import pyarrow as pa
