@@ -4,14 +4,16 @@ A plain window over ``partitionBy(key)`` sorts every row of a key in a single ta
 holding a third of the rows becomes the job. Here a key is cut by a coarse bucket of its order
 column (an hour, a day): the window runs inside (key, bucket), each bucket is folded to one
 summary row, the summaries are scanned (one row per key and bucket) and the carried-in value is
-joined back. The result equals the plain window, which is used where no key is large: the largest
-key is counted first (or the caller passes what it already knows).
+joined back. The rows equal the plain window's, null keys included, so which of the two plans runs is a
+matter of cost alone: plain windows while no key is large (the largest key is counted first, or the
+caller passes what it already knows), the cut above.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,14 +103,17 @@ def prefix_scan(
     )
     earlier = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     carried = summary.select(
-        *keys, BUCKET, *[_windowed(c.how, F.col(f"__s{i}"), earlier).alias(f"__c{i}") for i, c in enumerate(carries)]
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, BUCKET])],
+        *[_windowed(c.how, F.col(f"__s{i}"), earlier).alias(f"__c{i}") for i, c in enumerate(carries)],
     )
     here = base.select(
         "*",
         *[_windowed(c.how, F.col(f"__v{i}"), upto if c.inclusive else before).alias(f"__l{i}")
           for i, c in enumerate(carries)],
     )
-    joined = here.join(carried, [*keys, BUCKET], "left")
+    # a null key or bucket is a key or bucket like any other
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate([*keys, BUCKET])])
+    joined = here.join(carried, same, "left")
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[_combine(c.how, F.col(f"__c{i}"), F.col(f"__l{i}")).alias(c.name) for i, c in enumerate(carries)],

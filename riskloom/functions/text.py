@@ -260,7 +260,7 @@ def headline_from_url(url: Column, acronyms: frozenset[str], min_words: int = 3,
         return (
             F.when(F.upper(w).isin(sorted(acronyms)), F.upper(w))
             .when((i > 0) & low.isin(SMALL_WORDS.split()), low)
-            .otherwise(F.concat(F.upper(F.substring(low, 1, 1)), F.substring(low, 2, 1000)))
+            .otherwise(F.concat(F.upper(F.substring(low, 1, 1)), F.substring(low, F.lit(2), F.length(low))))
         )
 
     return let(best, lambda b: F.when(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.functions.scan import asof_last, hours
 from riskloom.operators.market import fill_forward
 
 
@@ -15,28 +16,25 @@ def sessions(closes: DataFrame, market: str, start: str, end: str) -> DataFrame:
     return days.withColumn("pos", F.row_number().over(Window.orderBy("date")) - 1)
 
 
-def effective_snapshots(days: DataFrame, snapshots: DataFrame, cutoff_seconds: int = 34_200) -> DataFrame:
-    """As-of join: the latest snapshot at or before each session's cutoff; the first one before that.
+def effective_snapshots(days: DataFrame, snapshots: DataFrame, cutoff_seconds: int = 34_200, zone: str = "UTC") -> DataFrame:
+    """As-of join: the latest snapshot at or before each session's cutoff in the market's time; the first one before that.
 
-    Days and snapshots are stacked and scanned; both are one row per day at most.
+    Days and snapshots are scanned in buckets of a month, whatever the number of snapshots.
     """
     snaps = snapshots.select("snapshot_id", "as_of").distinct()
     first = snaps.agg(F.min_by("snapshot_id", "as_of").alias("first_id"))
-    marks = days.select(
-        (F.to_timestamp("date") + F.make_dt_interval(secs=F.lit(cutoff_seconds))).alias("at"), F.lit(1).alias("kind"), "date", "pos",
-        F.lit(None).cast(snaps.schema["snapshot_id"].dataType).alias("snapshot_id")).unionByName(
-            snaps.select(F.col("as_of").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("date").alias("date"),
-                         F.lit(None).cast("int").alias("pos"), "snapshot_id"))
-    w = Window.orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return marks.withColumn("snap", F.last("snapshot_id", ignorenulls=True).over(w)).filter("kind = 1").join(
-        F.broadcast(first)).select("date", "pos", F.coalesce("snap", "first_id").alias("snapshot_id"))
+    local = F.to_timestamp("date") + F.make_dt_interval(secs=F.lit(cutoff_seconds))
+    probes = days.select(F.to_utc_timestamp(local, zone).alias("at"), "date", "pos")
+    facts = snaps.select(F.col("as_of").alias("at"), F.col("snapshot_id").alias("snap"))
+    return asof_last(probes, facts, [], "at", hours("at", 24 * 30), ["snap"], split=True).join(F.broadcast(first)).select(
+        "date", "pos", F.coalesce("snap", "first_id").alias("snapshot_id"))
 
 
 def replay(snapshots: DataFrame, closes: DataFrame, opens: DataFrame, market: str, start: str, end: str,
-           cost_bps: float = 5.0, trade_at: str = "open") -> DataFrame:
+           cost_bps: float = 5.0, trade_at: str = "open", hours_of: tuple[str, int, int] = ("UTC", 34_200, 56_700)) -> DataFrame:
     """Daily return, cost and value (base 100) per portfolio.
 
-    ``snapshots``: snapshot_id, as_of, portfolio, ticker, weight.
+    ``snapshots``: snapshot_id, as_of, portfolio, ticker, weight; ``hours_of``: the exchange's zone, open and last decision.
     """
     days = sessions(closes, market, start, end)
     names = snapshots.select("ticker").distinct()
@@ -49,7 +47,8 @@ def replay(snapshots: DataFrame, closes: DataFrame, opens: DataFrame, market: st
     n_names = names.agg(F.count("*").alias("n_names"))
     complete = priced.groupBy("date").agg(F.count("open").alias("n_open")).join(F.broadcast(n_names)).select(
         "date", (F.col("n_open") == F.col("n_names")).alias("at_open"))
-    eff = effective_snapshots(days, snapshots, 34_200 if trade_at == "open" else 56_700)
+    zone, opens_at, decides_at = hours_of
+    eff = effective_snapshots(days, snapshots, opens_at if trade_at == "open" else decides_at, zone)
     weights = eff.join(snapshots.select("snapshot_id", "portfolio", "ticker", "weight"), "snapshot_id")
     w_p = Window.partitionBy("portfolio", "ticker").orderBy("pos")
     # session 0 only provides the previous close; the first traded session pays no cost

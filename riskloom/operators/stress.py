@@ -17,7 +17,7 @@ from riskloom.functions import risk
 from riskloom.operators.book import _by_notch, capital_weighted
 from riskloom.session import cut
 
-MAX_RUNS = 20_000
+RUN_CHUNK = 64   # runs that a position is joined with by one key
 COARSE_GRID = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0, 5.0, 6.0, 8.0, 10.0)
 
 
@@ -103,11 +103,10 @@ def with_multiples(requests: DataFrame, multiples: Sequence[float]) -> DataFrame
 
 def revalue(positions: DataFrame, runs: DataFrame) -> DataFrame:
     """(position, run) rows: value change, stressed rating, stage, expected loss and capital."""
-    n = runs.count()
-    if n > MAX_RUNS:
-        raise ValueError(f"{n} runs exceed {MAX_RUNS}; split the request table")
+    chunks = -(-runs.count() // RUN_CHUNK)
     rows = fin.rating_rows()
-    x = positions.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(F.broadcast(runs), "run")
+    chunk = F.explode(F.slice(F.sequence(F.lit(0), F.lit(max(chunks, 1) - 1)), 1, chunks))
+    x = positions.withColumn("_chunk", chunk).join(runs.withColumn("_chunk", F.floor(F.col("run") / RUN_CHUNK).cast("int")), "_chunk").drop("_chunk")
     is_epi = F.col("obligor_id") == F.col("epi_id")
     group_peer = (F.col("contagion") == "group") & (F.coalesce("epi.group", F.lit("")) != "") & (F.col("group") == F.col("epi.group"))
     sector_peer = (F.col("contagion") != "group") & (F.col("sector") == F.col("epi.sector")) & (F.col("bank") == F.col("epi.bank")) & (F.col("country") == F.col("epi.country"))
@@ -230,9 +229,10 @@ def ratios(positions: DataFrame, requests: DataFrame, obligors: DataFrame, vecto
 
 def reverse_stress(positions: DataFrame, requests: DataFrame, obligors: DataFrame, vectors: DataFrame, scenarios: DataFrame,
                    floors: dict[str, float] | None = None) -> DataFrame:
-    """Smallest multiple (on a 0.01 grid) at which CET1 reaches each floor; null beyond 10x.
+    """Multiple (on a 0.01 grid) at which CET1 first reaches each floor inside the first coarse bracket that ends below it.
 
-    A coarse grid finds the bracket, one more job evaluates the 0.01 grid inside it.
+    A coarse grid finds the bracket, one more job evaluates the 0.01 grid inside it; null where no coarse point up to 10x
+    is below. A ratio that dips under the floor and recovers between two coarse points is not seen.
     """
     floors = floors or {"rbi": fin.RBI_FLOOR, "basel": fin.BASEL_FLOOR}
     coarse = cut(ratios(positions, requests, obligors, vectors, scenarios, COARSE_GRID))

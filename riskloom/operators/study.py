@@ -13,6 +13,7 @@ from riskloom.dims import finance as fin
 from riskloom.dims.text_rules import FILING_ITEMS, PRIORITY
 from riskloom.functions.scan import Carry, prefix_scan
 from riskloom.operators.market import calendar
+from riskloom.session import cut
 
 # fixed values: windows of the study
 ESTIMATION, GAP_ROWS, MIN_PAIRS, FIRST_POS = (-250, -31), 20, 120, 260
@@ -147,7 +148,7 @@ def calibrate(events: DataFrame, splits=SPLITS, c: float = 0.5, knots: int = 60)
 
     Returns the impact model (class logits, support, knots) and all split rows with ``p``.
     """
-    e = features(with_split(events, splits).filter(F.col("split").isNotNull()), "split").cache()
+    e = cut(features(with_split(events, splits).filter(F.col("split").isNotNull()), "split"))
     n = e.filter("split = 'train'").count()
     if n < 200:
         raise ValueError(f"Too few training events ({n})")

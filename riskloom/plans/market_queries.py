@@ -120,7 +120,7 @@ def p20(spark, sf):
 
 
 # ------------------------------------------------------------------ index
-BENCH_SQL = """cp AS (SELECT series AS ticker, sum(value) AS cap FROM px WHERE starts_with(series, 'Brand#') GROUP BY 1), top AS (SELECT * FROM cp ORDER BY cap DESC, ticker LIMIT 20), wf0 AS (SELECT *, cap / sum(cap) OVER () AS v FROM top),
+BENCH_SQL = """cp AS (SELECT series AS ticker, sum(value) AS cap FROM px WHERE starts_with(series, 'Brand#') GROUP BY 1), top AS (SELECT * FROM cp), wf0 AS (SELECT *, cap / sum(cap) OVER () AS v FROM top),
 wf AS (SELECT *, row_number() OVER (ORDER BY v DESC, ticker) - 1 AS i, sum(v) OVER (ORDER BY v DESC, ticker ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS tail FROM wf0),
 wk AS (SELECT *, (1 - i * 0.052) / tail AS sc, (1 - i * 0.052) / tail * v <= 0.052 + 1e-12 AS fits FROM wf), wb AS (SELECT arg_min(sc, i) AS bs, min(i) AS bi FROM wk WHERE fits),
 bench AS (SELECT ticker, CASE WHEN bi IS NULL OR i < bi THEN 0.052 ELSE bs * v END AS bench FROM wk, wb)"""
@@ -128,13 +128,12 @@ bench AS (SELECT ticker, CASE WHEN bi IS NULL OR i < bi THEN 0.052 ELSE bs * v E
 
 def members(spark, sf) -> DataFrame:
     caps = px(spark, sf).filter(F.col("series").startswith("Brand#")).groupBy(F.col("series").alias("ticker")).agg(F.sum("value").alias("cap"))
-    top = caps.orderBy(F.desc("cap"), "ticker").limit(20).withColumn("index_name", F.lit("TOP20"))
-    return tilt.capped_weights(top, ["index_name"], cap=0.052)
+    return tilt.capped_weights(caps.withColumn("index_name", F.lit("BRANDS")), ["index_name"], cap=0.052)
 
 
 @query("m07_capped_weights", f"WITH {M}, {BENCH_SQL} SELECT ticker, round(bench, 6) AS bench FROM bench")
 def m07(spark, sf):
-    """Capped cap-weights of the 20 largest brands."""
+    """Capped cap-weights of all brands."""
     return members(spark, sf).select("ticker", r6("bench").alias("bench"))
 
 
@@ -183,14 +182,14 @@ def m08(spark, sf):
 
 @query("m09_rebalance_path")
 def m09(spark, sf):
-    """Adopted snapshots under the no-trade band, with running turnover."""
+    """Adopted snapshots under the no-trade band, with turnover and cost of each."""
     p = path(spark, sf)
     return p.select("seq", r6("turnover").alias("turnover"), r6("cost_bps").alias("cost_bps"))
 
 
 @query("m09_attribution")
 def m09a(spark, sf):
-    """Each snapshot split into signal and constraint effects per name; biggest movers first."""
+    """Each snapshot split into signal and constraint effects per name."""
     a = tilt.attribution(path(spark, sf), holdings(spark, sf))
     return a.select("seq", "ticker", r6("final").alias("final"), r6("from_signal").alias("from_signal"), r6("from_constraints").alias("from_constraints"))
 
@@ -213,13 +212,14 @@ def m10(spark, sf):
 # ------------------------------------------------------------------ back-test
 SNAP_SQL = """mo AS (SELECT date_trunc('month', date)::DATE AS m, series AS ticker, sum(value) AS v, sum(open) AS o FROM px JOIN bench ON bench.ticker = px.series GROUP BY ALL),
 ms AS (SELECT (m + INTERVAL 1 MONTH)::DATE AS m2, ticker, v / sum(v) OVER (PARTITION BY m) AS tilt, 1.0 / count(*) OVER (PARTITION BY m) AS flat, o / sum(o) OVER (PARTITION BY m) AS naive, count(*) OVER (PARTITION BY m) AS names FROM mo),
-snp AS (SELECT strftime(m2, '%Y-%m') AS sid, m2, ticker, unnest(['tilt', 'flat', 'naive']) AS portfolio, unnest([tilt, flat, naive]) AS weight FROM ms WHERE names = 20)"""
+snp AS (SELECT strftime(m2, '%Y-%m') AS sid, m2, ticker, unnest(['tilt', 'flat', 'naive']) AS portfolio, unnest([tilt, flat, naive]) AS weight FROM ms WHERE names = (SELECT count(*) FROM bench))"""
 
 
 def snapshots(spark, sf) -> DataFrame:
     m = px(spark, sf).join(members(spark, sf).select(F.col("ticker").alias("series")), "series").groupBy(
         F.trunc("date", "month").alias("m"), F.col("series").alias("ticker")).agg(F.sum("value").alias("v"), F.sum("open").alias("o"))
-    t = m.groupBy("m").agg(F.sum("v").alias("tv"), F.sum("o").alias("to"), F.count("*").alias("names")).filter("names = 20")
+    every = members(spark, sf).agg(F.count("*").alias("names"))   # one row
+    t = m.groupBy("m").agg(F.sum("v").alias("tv"), F.sum("o").alias("to"), F.count("*").alias("names")).join(F.broadcast(every), "names")
     j = m.join(t, "m").withColumn("m2", F.add_months("m", 1))
     w = F.array(F.struct(F.lit("tilt").alias("portfolio"), (F.col("v") / F.col("tv")).alias("weight")), F.struct(F.lit("flat").alias("portfolio"), (F.lit(1.0) / F.col("names")).alias("weight")),
                 F.struct(F.lit("naive").alias("portfolio"), (F.col("o") / F.col("to")).alias("weight")))
@@ -252,6 +252,17 @@ def j13(spark, sf):
     return backtest.effective_snapshots(days, snapshots(spark, sf)).select(F.col("date").cast("string").alias("date"), "snapshot_id")
 
 
+@query("j13_market_time", f"""WITH {M}, {BENCH_SQL}, {SNAP_SQL}, {BT_SQL}, sx AS (SELECT DISTINCT sid || '-' || h AS sid, m2 + to_seconds(h * 7300) AS tm FROM snp, range(0, 12) r(h))
+SELECT se.date::VARCHAR AS date, coalesce((SELECT arg_max(sid, tm) FROM sx WHERE tm <= se.date + INTERVAL 3 HOUR + INTERVAL 45 MINUTE), (SELECT arg_min(sid, tm) FROM sx)) AS snapshot_id FROM se""")
+def j13z(spark, sf):
+    """Snapshots inside the day against sessions that open at 09:15 in Mumbai."""
+    zone, opens_at, _ = fin.MARKET_HOURS["IN"]
+    days = backtest.sessions(px(spark, sf), "MKT", *BT)
+    s = snapshots(spark, sf).select("snapshot_id", "as_of").distinct().withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    s = s.select(F.concat_ws("-", "snapshot_id", "h").alias("snapshot_id"), (F.col("as_of") + F.make_dt_interval(secs=F.col("h") * 7300)).alias("as_of"))
+    return backtest.effective_snapshots(days, s, opens_at, zone).select(F.col("date").cast("string").alias("date"), "snapshot_id")
+
+
 @query("m11_backtest", f"WITH {M}, {BENCH_SQL}, {SNAP_SQL}, {BT_SQL} SELECT portfolio, date::VARCHAR AS date, round(r, 6) AS ret, round(tov, 6) AS turnover FROM rt")
 def m11(spark, sf):
     """Daily returns and turnover of three portfolios, trading at the next open."""

@@ -290,7 +290,7 @@ def p15(spark, sf):
     return s.select(F.explode("shock").alias("factor", "value"))
 
 
-CURVE_M = (0.25, 0.5, 1.0, 2.0, 4.0)
+CURVE_M = fin.CURVE_POINTS
 
 
 @query("m15_severity_curve", f"WITH {M}, {SHOCK_SQL}, {BOOK}, {stress_sql(CURVE_M)} SELECT rid AS req_id, m, round((0.13 * sum(rwa0) + 0.75 * sum(pnl)) / sum(rwa1), 5) AS cet1_ratio FROM st GROUP BY ALL")

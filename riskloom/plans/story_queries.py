@@ -127,7 +127,7 @@ def m03(spark, sf):
 
 @query("w04_publishers_60m")
 def w04(spark, sf):
-    """Rolling distinct publishers of the last hour, checked against a direct recount."""
+    """Rolling distinct publishers of the last hour: how many updates have how many."""
     e = event_rows(spark, sf).filter("status = 'active'")
     return e.groupBy(big("publishers_60m").alias("publishers_60m")).agg(F.count("*").alias("n"))
 

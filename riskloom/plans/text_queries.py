@@ -190,6 +190,17 @@ def s15(spark, sf):
     return ref.manifest(spark, f"{sf}/*.parquet").select("file", "length", "rows", "sha256")
 
 
+TABLE_FILES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query("s15_row_counts", " UNION ALL ".join(f"SELECT '{t}' AS file, count(*) AS rows FROM {t}" for t in TABLE_FILES))
+def s15n(spark, sf):
+    """Rows per table of the inventory (a table may be a folder of files)."""
+    m = ref.manifest(spark, f"{sf}/*.parquet")
+    table = F.regexp_extract("path", r"/([a-z]+)\.parquet", 1)
+    return m.groupBy(table.alias("file")).agg(F.sum("rows").alias("rows"))
+
+
 PAIR_LABELS = ("negative", "neutral", "positive")
 
 

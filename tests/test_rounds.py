@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.scan import Carry, asof_last, hours, prefix_scan
@@ -46,19 +47,28 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "entity_id string, published_at timestamp, doc_id string, event string")
 
 
-def test_split_scan_equals_plain(spark):
-    df = frame(spark, feed(1)).withColumn("x", F.length("doc_id") + F.ascii(F.substring("doc_id", 5, 1)))
-    c = [Carry("s", "sum", F.col("x")), Carry("p", "last", F.when(F.col("x") % 2 == 0, F.col("x")), inclusive=False), Carry("m", "max", F.col("x")), Carry("f", "first", F.col("doc_id"))]
-    a, b = (prefix_scan(df, ["entity_id"], ["published_at", "doc_id"], hours("published_at", 6), c, split=s) for s in (True, False))
-    assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+def test_scan_equals_plain_windows(spark):
+    """Null keys, null order values and null values included."""
+    rows = feed(1) + [(None, t, d + "n", e) for _, t, d, e in feed(5, n=40)] + [("e0", None, f"z{k}", "OTHER") for k in range(3)]
+    df = frame(spark, rows).withColumn("x", F.length("doc_id") + F.ascii(F.substring("doc_id", 5, 1)))
+    x, even = F.col("x"), F.when(F.col("x") % 2 == 0, F.col("x"))
+    c = [Carry("s", "sum", x), Carry("p", "last", even, inclusive=False), Carry("m", "max", x), Carry("f", "first", F.col("doc_id"))]
+    got = prefix_scan(df, ["entity_id"], ["published_at", "doc_id"], hours("published_at", 6), c, split=True)
+    w = Window.partitionBy("entity_id").orderBy("published_at", "doc_id")
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    want = df.select("*", F.sum(x).over(upto).alias("s"), F.last(even, ignorenulls=True).over(before).alias("p"), F.max(x).over(upto).alias("m"), F.first("doc_id").over(upto).alias("f"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
-def test_asof_split_equals_plain(spark):
-    df = frame(spark, feed(2))
-    probes = df.select("entity_id", "published_at", "doc_id")
+def test_asof_equals_all_pairs(spark):
+    rows = feed(2) + [(None, t, d + "n", e) for _, t, d, e in feed(6, n=40)]
+    df = frame(spark, rows)
     facts = df.filter("event <> 'OTHER'").select("entity_id", "published_at", F.col("event").alias("e"))
-    a, b = (asof_last(probes, facts, ["entity_id"], "published_at", hours("published_at", 6), ["e"], split=s).orderBy("doc_id").collect() for s in (True, False))
-    assert a == b and any(r["e"] for r in a)
+    got = asof_last(df.select("entity_id", "published_at", "doc_id"), facts, ["entity_id"], "published_at", hours("published_at", 6), ["e"], split=True).collect()
+    for r in got:
+        past = [(t, e) for ent, t, _, e in rows if ent == r["entity_id"] and t <= r["published_at"] and e != "OTHER"]
+        assert r["e"] == (max(past)[1] if past else None)
+    assert len(got) == len(rows) and any(r["e"] for r in got)
 
 
 def test_story_chains_equal_sequential_rule(spark):
