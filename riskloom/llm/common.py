@@ -18,7 +18,7 @@ from riskloom.session import new_path
 #: Words are runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Entries that a Python worker's memo keeps at most; more words are computed again, never dropped.
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 800_000
 #: Characters of text that are cut into pieces at a time, and new pieces that are encoded at a time.
 GROUP_CHARS, GROUP_PIECES = 1 << 20, 512
 

@@ -36,7 +36,7 @@ def signed(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for t in batches:
+        for t in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             sets = [shingle_set(split_words(x or ""), width) for x in t.column(1).to_pylist()]
             keys = [coordinate_keys(minhash(s, a, b)) for s in sets if len(s)]
             ends = np.cumsum([0] + [COORDINATES * (len(s) > 0) for s in sets]).astype(np.int32)
@@ -54,7 +54,7 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for t in batches:
+        for t in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             sets = [shingle_set(split_words(x or ""), width) for x in t.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [t.column(0), pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "set_id", "hashes"])

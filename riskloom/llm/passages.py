@@ -48,6 +48,7 @@ def paragraphs(docs: DataFrame, bands: int, rows: int, min_words: int = MIN_WORD
         names = ["doc_id", "line", "start", "end", "n_words", "class_id", "keys"]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
         salt = np.arange(1, bands + 1, dtype=np.uint64)
+        batch = lambda out: pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
         for t in batches:
             out: list[tuple] = []
             for doc, text in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True):
@@ -61,8 +62,11 @@ def paragraphs(docs: DataFrame, bands: int, rows: int, min_words: int = MIN_WORD
                             key = mixed(key + low[:, r])
                         out.append((doc, k, at, at + len(line), len(ws), digest(np.frombuffer(b" ".join(ws), np.uint8)), key.view(np.int64)))
                     at += len(line) + 1
+                if len(out) >= 4096:
+                    yield batch(out)
+                    out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                yield batch(out)
 
     found = identified(docs).mapInArrow(run, "doc_id bigint, line int, start bigint, end bigint, n_words bigint, class_id binary, keys array<bigint>")
     return found.withColumn("id", F.xxhash64("doc_id", "line"))

@@ -5,24 +5,11 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from riskloom.llm.common import MEMO_ENTRIES, kept_by_worker
-
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 CHUNK = 1024   # shingles permuted at a time, which bounds memory for texts of any length
 
 
-class WordHashes(dict):
-    """Word (bytes) to 64-bit hash; a full memo computes without keeping."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < MEMO_ENTRIES:
-            self[word] = h
-        return h
-
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * MIX[0]
     h = (h ^ (h >> np.uint64(27))) * MIX[1]
@@ -38,7 +25,7 @@ def shingle_set(ws: list[bytes], width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles; fewer words make one shingle, no words none."""
     if not ws:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(kept_by_worker("words", WordHashes).__getitem__, ws), np.uint64, len(ws))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws))
     n = max(1, len(ws) - width + 1)
     out = np.full(n, np.uint64(min(width, len(ws))))
     for k in range(min(width, len(ws))):

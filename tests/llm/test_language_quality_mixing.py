@@ -70,7 +70,7 @@ def test_base_counts_equal_brute_force(spark, docs, none):
 
 
 def test_lines_above_the_limit_go(spark):
-    common, poor = "Read   MORE about 12 cookies here", "another line of the host that all poor ones hold with its words in a row here " * 2
+    common, poor = "Read   MORE about 12 cookies here", prose(999, 34)
     table = [(k, prose(k, 50) + "\n" + common.replace("12", str(k)), "h", 1) for k in range(60)]
     table += [(100 + k, poor + "\n" + prose(500 + k, 5), "h", 1) for k in range(30)]
     table += [(200 + k, prose(700 + k, 50) + "\n" + common, None, 1) for k in range(5)] + [(300, None, "h", 1)]
