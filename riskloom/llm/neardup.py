@@ -1,6 +1,6 @@
 """Near-duplicate documents by an inverted join over MinHash signature coordinates.
 
-A document's set is its distinct four-word shingles. Documents of equal sets are one class, which its smallest doc_id
+A document's set is its distinct shingles (of four words unless told otherwise). Documents of equal sets are one class, which its smallest doc_id
 stands for. A class is posted under each pair of coordinate and value of a 64-coordinate signature. Two sets of
 similarity 0.8 agree in at least 36 coordinates (but for four in a million), so a match threshold of 36 lets postings be
 skipped: pairs seen once cannot collide, and of a class's coordinates, rarest first, only the first 64 - 36 + 1 need
@@ -71,15 +71,15 @@ def prefix_lists(reps: DataFrame, coordinates: int = COORDINATES, matches: int =
     return shared.where(take > 0).select("id", F.explode(F.slice("by_rarity", F.lit(1), take)).alias("p")).select("p.key", "id")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (it is its own component's first)."""
-    light = written(signed(docs), "signed")
+    light = written(signed(docs, width), "signed")
     classes = written(light.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.count("*").alias("weight")), "classes")
     one = classes.select("id", F.col("set_id").alias("of"))
     reps = light.join(one, (F.col("doc_id") == F.col("id")) & (F.col("set_id") == F.col("of"))).dropDuplicates(["id", "set_id"]).select("id", "keys")
     lists = written(prefix_lists(reps), "lists")
     ids = lists.select("id").distinct()
-    full = shingle_sets(maybe_in(identified(docs), "doc_id", ids))
+    full = shingle_sets(maybe_in(identified(docs), "doc_id", ids), width)
     sets = written(full.join(classes.join(ids, "id"), (F.col("doc_id") == F.col("id")) & (full["set_id"] == classes["set_id"]))
                    .select("id", "weight", "hashes").dropDuplicates(["id"]), "sets")
     found = similar_components(lists, sets, percent)
@@ -89,7 +89,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """One document of each component, columns as given."""
-    kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    kept = near_duplicates(docs, percent, width).where("kept").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(kept, F.col("doc_id").cast("bigint") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])

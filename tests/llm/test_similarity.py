@@ -42,6 +42,18 @@ def test_deduplicated_keeps_columns_and_one_of_each(docs, none):
     assert neardup.deduplicated(none).count() == 0 and neardup.near_duplicates(none).count() == 0
 
 
+def test_the_stage_takes_five_words_and_the_query_four(spark):
+    import corpus_pipeline
+
+    base = prose(1, 44)
+    table = [(k, base if k == 0 else near(base, k, 1)) for k in range(6)]
+    keeps = {w: set(components(range(6), lambda a, b: similar(shingles(table[a][1], w), shingles(table[b][1], w))).values()) for w in (4, 5)}
+    assert keeps[4] < keeps[5]
+    d = spark.createDataFrame(table, "doc_id bigint, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, d, "").collect()} == keeps[5]
+    assert {r.doc_id for r in neardup.near_duplicates(d).where("kept").collect()} == keeps[4]
+
+
 def test_bands_reach_the_recall():
     bands, width = passages.tuned_bands(0.8)
     assert (1 - 0.8 ** width) ** bands <= 1e-4 and bands <= passages.MAX_BANDS
