@@ -6,6 +6,13 @@ their bands; lists of one are dropped; the others are compared as in ``links`` (
 verified by exact Jaccard similarity of five-word shingles. Components are the clusters; in a cluster that reaches over
 several documents the first paragraph stays and the others are removed.
 
+Passages need not be lines. A window of ``RUN`` words (over line ends) that an earlier document holds too is repeated;
+repeated windows that overlap, touch or leave at most ``GAP`` words between them are one passage, which goes by its
+characters from ``PASSAGE`` words on. So every run of ``PASSAGE`` equal words goes as a whole, and a passage with single
+changed words as far as its equal parts have ``RUN`` words. The smallest hash of ``SEED`` words in a window is posted:
+equal windows have the same. Only windows whose smallest hash several documents hold are hashed themselves, where one
+does not lie in a line that goes anyway; a window's first document is found by its hash.
+
 Defined cases: a null text has no paragraphs; repeats inside one document alone stay; rows that repeat a doc_id are one
 document, whose paragraphs stay or go together by their place; an empty table gives no rows.
 """
@@ -13,19 +20,23 @@ document, whose paragraphs stay or go together by their place; an empty table gi
 from __future__ import annotations
 
 import math
+import re
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import identified, written
 from riskloom.llm.links import maybe_in, similar_components
-from riskloom.llm.shingles import digest, minhash, mixed, permutations, shingle_set, split_words
+from riskloom.llm.shingles import digest, minhash, mixed, permutations, rolled, shingle_set, split_words, word_hashes
 
 MIN_WORDS = 20
 WIDTH = 5
 PERCENT = 80
 RECALL = 0.9999   # of pairs at the similarity itself
 MAX_BANDS = 16
+RUN, SEED = 20, 10      # words of a window, of a posted hash
+GAP, PASSAGE = 5, 40    # words between windows of one passage at most, of a passage at least
 
 
 def tuned_bands(similarity: float, recall: float = RECALL, most: int = MAX_BANDS) -> tuple[int, int]:
@@ -85,8 +96,8 @@ def paragraph_sets(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     return rows.select("id", "text").mapInArrow(run, "id bigint, hashes binary")
 
 
-def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, line, start, end, n_words, kept_doc_id, kept_line of every paragraph to remove."""
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, line, start, end, n_words, kept_doc_id, kept_line of every line to remove."""
     bands, rows = tuned_bands(percent / 100)
     found = written(paragraphs(docs, bands, rows, min_words).dropDuplicates(["doc_id", "line", "class_id"]), "paragraphs")
     first = F.struct("doc_id", "line", "id")
@@ -112,13 +123,166 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, percent: in
     return gone.select("doc_id", "line", "start", "end", "n_words", F.col("stays.doc_id").alias("kept_doc_id"), F.col("stays.line").alias("kept_line"))
 
 
+def _seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window of ``RUN`` words the place of its smallest hash of ``SEED`` words, and that hash."""
+    grams = rolled(hashes, SEED)
+    near = np.lib.stride_tricks.sliding_window_view(grams, RUN - SEED + 1)
+    at = near.argmin(axis=1) + np.arange(len(near))
+    return at, grams[at].view(np.int64)
+
+
+def _line_of_words(text: str) -> tuple[list[bytes], np.ndarray]:
+    """The words of a text and the number of each one's line."""
+    cut = [split_words(x) for x in text.split("\n")]
+    return [w for ws in cut for w in ws], np.repeat(np.arange(len(cut), dtype=np.int32), [len(ws) for ws in cut])
+
+
+def posted_seeds(docs: DataFrame) -> DataFrame:
+    """doc_id, key, line (that holds all windows about the hash; -1 if none does)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for t in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            ids, keys, lines = [], [], []
+            for doc, text in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True):
+                ws, line = _line_of_words(text or "")
+                if len(ws) < RUN:
+                    continue
+                at, key = _seeds(word_hashes(ws))
+                at, one = np.unique(at, return_index=True)
+                key = key[one]
+                first, last = line[np.maximum(at - (RUN - SEED), 0)], line[np.minimum(at + RUN - 1, len(ws) - 1)]
+                ids.append(np.full(len(at), doc, np.int64))
+                keys.append(key)
+                lines.append(np.where(first == last, first, -1).astype(np.int32))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ids, keys, lines)], names=["doc_id", "key", "line"])
+
+    return identified(docs).mapInArrow(run, "doc_id bigint, key bigint, line int")
+
+
+def windows(rows: DataFrame) -> DataFrame:
+    """doc_id, hash, line (it begins in) of the windows with the given smallest hashes; ``rows``: doc_id, text, keys."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for t in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
+            out: list[list] = [[], [], []]
+            for doc, text, keys in zip(*(t.column(k).to_pylist() for k in range(3)), strict=True):
+                ws, line = _line_of_words(text or "")
+                if len(ws) < RUN:
+                    continue
+                hashes = word_hashes(ws)
+                word = np.flatnonzero(np.isin(_seeds(hashes)[1], np.array(keys, np.int64)))
+                found, one = np.unique(rolled(hashes, RUN)[word].view(np.int64), return_index=True)
+                for c, v in zip(out, (np.full(len(found), doc, np.int64), found, line[word][one]), strict=True):
+                    c.append(v)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["doc_id", "hash", "line"])
+
+    return rows.select("doc_id", "text", "keys").mapInArrow(run, "doc_id bigint, hash bigint, line int")
+
+
+def _joined(rows: DataFrame) -> DataFrame:
+    """Passages of repeated windows; ``rows``: doc_id, text, windows (hash, kept_doc_id), gone (lines)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        names = ["doc_id", "text_id", "line", "start", "end", "n_words", "kept_doc_id", "hash"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        for t in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
+            out: list[tuple] = []
+            for doc, text_id, text, found, gone in zip(*(t.column(k).to_pylist() for k in range(5)), strict=True):
+                ws, line = _line_of_words(text or "")
+                if len(ws) < RUN:
+                    continue
+                kept = {w["hash"]: w["kept_doc_id"] for w in found}
+                hashes = rolled(word_hashes(ws), RUN).view(np.int64)
+                word = np.flatnonzero(np.isin(hashes, np.fromiter(kept, np.int64, len(kept))))
+                if not len(word):
+                    continue
+                stays = ~np.isin(line, np.array(gone or [-1], np.int64))
+                chars = None
+                for part in np.split(word, np.flatnonzero(np.diff(word) > RUN + GAP) + 1):
+                    a, b = int(part[0]), int(part[-1]) + RUN
+                    if b - a >= PASSAGE and stays[a:b].any():
+                        chars = chars or [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+                        h = int(hashes[a])
+                        out.append((doc, text_id, int(line[a]), chars[a][0], chars[b - 1][1], b - a, kept[h], h))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    return rows.select("doc_id", F.xxhash64("text").alias("text_id"), "text", "windows", "gone").mapInArrow(
+        run, "doc_id bigint, text_id bigint, line int, start bigint, end bigint, n_words bigint, kept_doc_id bigint, hash bigint")
+
+
+def repeated_spans(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """doc_id, text_id, line, start, end, n_words, kept_doc_id, kept_line of passages that do not lie in ``gone`` lines (doc_id, line)."""
+    posted = written(posted_seeds(docs), "seeds")
+    shared = posted.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc <> last_doc").select("key", "first_doc")
+    shared = written(posted.join(shared, "key"), "shared")
+    left = shared.join(gone.select("doc_id", "line").distinct(), ["doc_id", "line"], "left_anti")
+    live = left.where("doc_id <> first_doc").select("key").distinct()
+    keys = written(shared.join(live, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "live")   # at most the document's own
+    rows = maybe_in(identified(docs), "doc_id", keys.select("doc_id")).join(keys, "doc_id")
+    found = written(windows(rows), "windows")
+    first = found.groupBy("hash").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("last_doc")).where("kept_doc_id <> last_doc").select("hash", "kept_doc_id")
+    again = found.select("doc_id", "hash").join(first, "hash").where("doc_id <> kept_doc_id")
+    each = written(again.groupBy("doc_id").agg(F.collect_set(F.struct("hash", "kept_doc_id")).alias("windows")), "repeated")   # at most one a word
+    each = each.join(gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone")), "doc_id", "left")
+    spans = written(_joined(maybe_in(identified(docs), "doc_id", each.select("doc_id")).join(each, "doc_id")).distinct(), "spans")
+    at = maybe_in(found, "hash", spans.select("hash").distinct()).groupBy(F.col("doc_id").alias("kept_doc_id"), "hash").agg(F.min("line").alias("kept_line"))
+    return spans.join(at, ["kept_doc_id", "hash"]).select("doc_id", "text_id", "line", "start", "end", "n_words", "kept_doc_id", "kept_line")
+
+
+def repeated(docs: DataFrame, **parameters) -> tuple[DataFrame, DataFrame]:
+    """Lines to remove, and passages to remove besides."""
+    lines = written(repeated_lines(docs, **parameters), "gone-lines")
+    return lines, written(repeated_spans(docs, lines), "gone-spans")
+
+
+def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, line, start, end, n_words, kept_doc_id, kept_line of every line and of every other passage to remove."""
+    lines, spans = repeated(docs, min_words=min_words, percent=percent)
+    return lines.unionByName(spans.drop("text_id"))
+
+
+def without(text: str, lines: list[int], spans: list) -> str:
+    """The text without the lines, and without the spans of characters in the others; lines that spans empty go too."""
+    out, at, gone, spans = [], 0, set(lines or ()), sorted((s["start"], s["end"]) for s in spans)
+    for k, line in enumerate(text.split("\n")):
+        left, done, cut = "", 0, False
+        for start, end in spans:
+            a, b = max(start - at, 0), min(end - at, len(line))
+            if a < b:
+                piece, done, cut = line[done:a], b, True
+                left += piece[1:] if left[-1:] == " " == piece[:1] else piece
+        piece = line[done:]
+        left += piece[1:] if cut and left[-1:] == " " == piece[:1] else piece
+        at += len(line) + 1
+        if k not in gone and not (cut and not left.encode("utf-8", "surrogatepass").split()):
+            out.append(left)
+    return "\n".join(out)
+
+
 def cleaned(docs: DataFrame, **parameters) -> DataFrame:
     """The documents without their repeated paragraphs; those that nothing is left of go. Columns as given, n_chars anew."""
-    gone = repeated_paragraphs(docs, **parameters).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__gone"))
-    rows = docs.where("doc_id IS NOT NULL").join(gone, F.col("doc_id").cast("bigint") == F.col("__id"), "left")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n"))
-    rows = rows.withColumn("text", text).where(F.col("__gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    lines, spans = repeated(docs, **parameters)
+    gone = lines.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__gone"))
+    cuts = spans.groupBy(F.col("doc_id").alias("__of"), F.col("text_id").alias("__text")).agg(F.collect_list(F.struct("start", "end")).alias("__cuts"))
+    cut_out = F.udf(lambda text, lines, spans: None if text is None else without(text, lines, spans), "string")
+    ident = F.col("doc_id").cast("bigint")
+    rows = docs.where("doc_id IS NOT NULL").join(gone, ident == F.col("__id"), "left")
+    rows = rows.join(cuts, (ident == F.col("__of")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__text")), "left")
+    by_line = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
+    by_span = cut_out(F.when(F.col("__cuts").isNotNull(), F.col("text")), F.col("__gone"), F.col("__cuts"))   # other texts do not go to Python
+    untouched = F.col("__gone").isNull() & F.col("__cuts").isNull()
+    rows = rows.withColumn("__span", by_span)
+    text = F.when(F.col("__cuts").isNotNull(), F.col("__span")).when(F.col("__gone").isNotNull(), by_line).otherwise(F.col("text"))
+    rows = rows.withColumn("text", text).where(untouched | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)

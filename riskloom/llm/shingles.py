@@ -21,16 +21,24 @@ def split_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def word_hashes(ws: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws))
+
+
+def rolled(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the ``width`` words from each place on; there must be as many."""
+    n = len(hashes) - width + 1
+    out = np.full(n, np.uint64(width))
+    for k in range(width):
+        out = out * ODD + hashes[k: k + n]
+    return mixed(out)
+
+
 def shingle_set(ws: list[bytes], width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles; fewer words make one shingle, no words none."""
     if not ws:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws))
-    n = max(1, len(ws) - width + 1)
-    out = np.full(n, np.uint64(min(width, len(ws))))
-    for k in range(min(width, len(ws))):
-        out = out * ODD + h[k: k + n]
-    return np.unique(mixed(out))
+    return np.unique(rolled(word_hashes(ws), min(width, len(ws))))
 
 
 def permutations(k: int) -> tuple[np.ndarray, np.ndarray]:

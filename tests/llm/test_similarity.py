@@ -89,6 +89,22 @@ def test_cleaned_documents_lose_repeats_only(docs, none):
     assert passages.cleaned(none).count() == 0
 
 
+def test_passages_inside_lines_and_over_line_ends_go(spark, none):
+    passage, wrapped, edited = prose(71, 60), prose(72, 60), prose(73, 60)
+    fold = lambda t: "\n".join(" ".join(t.split(" ")[k: k + 12]) for k in range(0, 60, 12))
+    inside = lambda seed, t: prose(seed, 220) + " " + t + " " + prose(seed + 1, 220)
+    other = " ".join(w if k != 30 else "zz" for k, w in enumerate(edited.split(" ")))
+    texts = [inside(500, passage), inside(510, passage), prose(520, 15) + "\n" + fold(wrapped) + "\n" + prose(521, 15), inside(530, wrapped),
+             inside(540, edited), inside(550, other), inside(560, " ".join(passage.split(" ")[:25])), prose(580, 50) + " " + prose(580, 50)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {(r.doc_id, r.kept_doc_id): texts[r.doc_id][r.start:r.end] for r in passages.repeated_paragraphs(d).collect()}
+    assert got == {(1, 0): passage, (3, 2): wrapped, (5, 4): other}
+    want = dict(enumerate(texts)) | {k: prose(s, 220) + " " + prose(s + 1, 220) for k, s in ((1, 510), (3, 530), (5, 550))}
+    assert {r.doc_id: r.text for r in passages.cleaned(d).collect()} == want
+    turned = spark.createDataFrame([(k, texts[5 - k]) for k in range(6)], "doc_id bigint, text string")
+    assert {r.doc_id: r.text for r in passages.cleaned(turned).collect()}[3] == prose(520, 15) + "\n" + prose(521, 15)
+
+
 def test_edited_texts_and_equal_fingerprints(docs, none):
     got = sketch.edited_fingerprints(docs).withColumn("fp", sketch.fingerprint(F.col("sketch"))).withColumn("near", sketch.likeness(F.col("sketch"), F.col("edited_sketch"))).collect()
     table = named(rows())
