@@ -13,7 +13,7 @@ from riskloom.session import new_path
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go, boilerplate lines leave the others."""
-    return quality.cleaned(docs)
+    return quality.cleaned(docs, many=quality.MANY)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

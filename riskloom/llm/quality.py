@@ -2,7 +2,7 @@
 
 Lines are normalised (ASCII lower case, digit runs as 0, white space runs as one space) and hashed; for each host (the
 source) and line the distinct documents that hold it are counted. A line held by more than ``least`` documents and more
-than ``part`` of the host's documents is boilerplate: it is removed from all documents of the host but the one with the
+than ``part`` of the host's documents (or by more than ``many``, whatever the host's size) is boilerplate: it is removed from all documents of the host but the one with the
 smallest doc_id. A document is rejected when it fails the base rules (too few words, too much of it in repeated windows)
 or is depleted: too few words, or too small a part of its words, are left.
 
@@ -21,6 +21,7 @@ MIN_WORDS = 20
 REPEAT_PERCENT = 30
 WINDOW = 8
 LEAST, PART = 20, 0.01         # a line is boilerplate above both
+MANY = 100                     # with a line above this its host's size does not matter
 LEFT_WORDS, LEFT_PART = 20, 0.3  # less left is depleted
 
 
@@ -76,19 +77,22 @@ def base_stats(docs: DataFrame) -> DataFrame:
         F.col("l.lines").alias("lines"))
 
 
-def boilerplate(stats: DataFrame, least: int = LEAST, part: float = PART) -> DataFrame:
-    """host, hash, first_doc of the lines above both limits; counts are combined before they are shuffled."""
+def boilerplate(stats: DataFrame, least: int = LEAST, part: float = PART, many: int | None = None) -> DataFrame:
+    """host, hash, first_doc of the lines above both limits, or above ``least`` and ``many``; counts are combined before they are shuffled."""
     size = stats.select("host", "doc_id").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     held = stats.select("host", "doc_id", F.explode(F.array_distinct(F.transform("lines", lambda x: x["hash"]))).alias("hash")).distinct()
     counted = held.groupBy("host", "hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where(F.col("n") > least)
     same = counted["host"].eqNullSafe(size["host"])
-    return counted.join(size, same).where(F.col("n") > F.lit(part) * F.col("host_docs")).select(counted["host"], "hash", "first_doc")
+    enough = F.col("n") > F.lit(part) * F.col("host_docs")
+    if many is not None:
+        enough = enough | (F.col("n") > many)
+    return counted.join(size, same).where(enough).select(counted["host"], "hash", "first_doc")
 
 
-def verdicts(docs: DataFrame, least: int = LEAST, part: float = PART) -> DataFrame:
+def verdicts(docs: DataFrame, least: int = LEAST, part: float = PART, many: int | None = None) -> DataFrame:
     """doc_id, the base counts, base_failed, removed (line numbers), n_removed_words, depleted, kept."""
     stats = written(base_stats(docs), "quality")
-    hot = boilerplate(stats, least, part)
+    hot = boilerplate(stats, least, part, many)
     each = stats.select("doc_id", "host", F.explode("lines").alias("x")).select("doc_id", "host", F.col("x.i").alias("i"), F.col("x.hash").alias("hash"), F.col("x.n").alias("n"))
     gone = each.join(hot, each["host"].eqNullSafe(hot["host"]) & (each["hash"] == hot["hash"])).where("doc_id <> first_doc")
     by_doc = gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("i")).alias("removed"), F.collect_set(F.struct("i", "n")).alias("cut"))
@@ -99,9 +103,9 @@ def verdicts(docs: DataFrame, least: int = LEAST, part: float = PART) -> DataFra
         .withColumn("kept", ~F.col("base_failed") & ~F.col("depleted")).withColumnRenamed("lost", "n_removed_words"))
 
 
-def cleaned(docs: DataFrame) -> DataFrame:
+def cleaned(docs: DataFrame, many: int | None = None) -> DataFrame:
     """The kept documents without their boilerplate lines; columns as given, n_chars (if there) of the new text."""
-    kept = verdicts(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("removed").alias("__gone")).dropDuplicates(["__id"])
+    kept = verdicts(docs, many=many).where("kept").select(F.col("doc_id").alias("__id"), F.col("removed").alias("__gone")).dropDuplicates(["__id"])
     rows = docs.join(kept, F.col("doc_id").cast("bigint") == F.col("__id"))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(
         F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n"))

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.llm import language, mixing, quality
 
@@ -86,6 +87,23 @@ def test_lines_above_the_limit_go(spark):
     assert texts[1] == prose(1, 50) and texts[0].endswith(common.replace("12", "0"))
 
 
+def test_a_line_on_many_documents_of_a_large_host_goes(spark):
+    n = F.col("id")
+    lines = F.when(n % 200 == 0, F.array(F.struct(F.lit(1).alias("i"), F.lit(7).cast("bigint").alias("hash"), F.lit(9).alias("n"))))
+    stats = spark.range(200_000).select(n.alias("doc_id"), F.lit("h").alias("host"), lines.alias("lines"))
+    assert quality.boilerplate(stats).count() == 0
+    assert [tuple(r) for r in quality.boilerplate(stats, many=quality.MANY).collect()] == [("h", 7, 0)]
+
+
+def test_the_quality_stage_takes_the_limit_of_any_host(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(quality, "MANY", 25)
+    d = spark.createDataFrame([(k, prose(k, 25) + ("\nRead more about cookies" if k < 30 else ""), "h") for k in range(3200)], "doc_id bigint, text string, source string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.quality_rules(spark, d, "").collect()}
+    assert len(got) == 3200 and [k for k, t in got.items() if "cookies" in t] == [0]
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_mix_meets_its_targets(spark, monkeypatch, small):
     if not small:
