@@ -231,7 +231,7 @@ def s16(spark, sf):
 def s17(spark, sf):
     """Archive addresses rebuilt from document titles -> deduplicated, slot-limited pack (settled in rounds)."""
     f = feed(spark, sf).filter(F.col("title") != "")
-    slug = F.concat_ws("-", F.slice(F.regexp_extract_all(F.lower("title"), F.lit("[a-z]+"), F.lit(0)), 1, 12))
+    slug = F.concat_ws("-", F.regexp_extract_all(F.lower("title"), F.lit("[a-z]+"), F.lit(0)))
     rows = f.select(F.date_format(F.window("published_at", "15 minutes")["start"], "yyyyMMddHHmmss").alias("date_added"),
                     F.concat(F.lit("https://www.d"), (F.col("n") % 5).cast("string"), F.lit(".example/2024/"), slug, F.lit(".html")).alias("url"), F.lit("0").alias("tone"))
     return src.archive_pack(rows, "corpus", frozenset(corpus.ACRONYMS)).select("doc_id", "publisher", secs("published_at").alias("at"), "title")

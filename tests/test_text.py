@@ -99,3 +99,12 @@ def test_headlines_from_addresses(spark):
     urls = ["https://www.x.com/2023/01/acme-group-stocks-fall-after-short-seller-report-12345678.html", "https://x.com/a/b", "https://x.com/news/svb-and-the-fed-2023.html"]
     d = spark.createDataFrame([(u,) for u in urls], "u string").select(tx.headline_from_url(F.col("u"), frozenset({"SVB"})).alias("h"))
     assert [r["h"] for r in d.collect()] == ["Acme Group Stocks Fall after Short Seller Report", None, "SVB and the Fed"]
+
+
+def test_archive_addresses_hold_all_words_of_a_title(spark, monkeypatch):
+    from riskloom.plans import text_queries
+
+    same = "one two three four five six seven eight nine ten eleven twelve "
+    rows = spark.createDataFrame([(0, same + "rises"), (5, same + "falls")], "n bigint, title string").withColumn("published_at", F.lit("2024-01-01 00:05:00").cast("timestamp"))
+    monkeypatch.setattr(text_queries, "feed", lambda spark, sf: rows)
+    assert sorted(r.title.split(" ")[-1] for r in text_queries.s17(spark, "").collect()) == ["Falls", "Rises"]
