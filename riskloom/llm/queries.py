@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import chat, language, mixing, neardup, packing, passages, quality, shards, sketch, tokens
+from riskloom.llm import alignment, chat, language, mixing, neardup, negatives, packing, passages, pu, quality, shards, sketch, tokens
 from riskloom.llm.common import documents
 from riskloom.session import new_path, prepare
 
@@ -86,6 +86,25 @@ def op10_hash_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(prepare(spark), sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_threshold_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, labels of every seventh moved by one."""
+    e = prepare(spark).read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(negatives.usable(e, F.col("vec_id"), label, F.col("embedding"), F.col("vec_id") % 100 == 0))
+
+
+def op12_interval_coalescing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers over every text."""
+    return alignment.alignment_counts(documents(prepare(spark), sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op13_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text, learned from trusted positives and unlabelled text outside the held-out third."""
+    docs = documents(prepare(spark), sf_dir)
+    scored = pu.score(docs, pu.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return scored.select("doc_id", pu.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over documents."""
     import corpus_pipeline
@@ -131,9 +150,18 @@ p AS (SELECT d.*, source_size, target, copies, sum(size) OVER (PARTITION BY d.so
   sum(size) OVER (PARTITION BY d.source, hash) AS here FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * (copies + CAST(upto - here / 2 <= target - copies * source_size AS BIGINT)) AS BIGINT) AS taken FROM p"""
 
+OP11_SQL = f"""WITH r AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor({negatives.SCALE} * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, b.id AS other, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM r a JOIN r b ON a.id <> b.id WHERE a.id % 100 = 0),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= {negatives.POSITIVES})
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND {negatives.LEAST} * positive_score <= 100 * score AND 100 * score <= {negatives.MOST} * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= {negatives.NEGATIVES}"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_ranked_ids, op2_sum_of_squares_packing, op3_chat_parts, op4_label_propagation_shards, op5_scaled_sketch, op6_repeated_paragraphs,
-        op7_coordinate_join, op8_family_then_pairs, op9_line_frequency, op10_hash_thresholds, pipeline)
+        op7_coordinate_join, op8_family_then_pairs, op9_line_frequency, op10_hash_thresholds, op11_threshold_negatives, op12_interval_coalescing, op13_positive_unlabelled, pipeline)
 }
-ORACLES: dict[str, str] = {"op9_line_frequency": OP9_SQL, "op10_hash_thresholds": OP10_SQL}
+ORACLES: dict[str, str] = {"op9_line_frequency": OP9_SQL, "op10_hash_thresholds": OP10_SQL, "op11_threshold_negatives": OP11_SQL}
