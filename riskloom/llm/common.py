@@ -7,8 +7,8 @@ result and are left out; other columns, whatever their names, are ignored unless
 from __future__ import annotations
 
 import re
-import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +17,9 @@ from riskloom.session import new_path
 
 #: Words are runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
-#: Entries that a Python worker's memo keeps at most; more words are computed again, never dropped.
-MEMO_ENTRIES = 800_000
+#: Bytes that a memo of encoded words takes at most, and those of an entry beside its letters and ids; more words are
+#: computed again, never dropped.
+MEMO_BYTES, ENTRY_BYTES = 48 << 20, 180
 #: Characters of text that are cut into pieces at a time, and new pieces that are encoded at a time.
 GROUP_CHARS, GROUP_PIECES = 1 << 20, 512
 
@@ -39,6 +40,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(batches: Iterator) -> Iterator:
+    """The batches; after the last one, memory that a Python worker no longer uses goes back to the machine."""
+    yield from batches
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):   # another C library
+        pass
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` over ``value`` evaluated once (lambda bodies would evaluate a plain expression at each use)."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -55,18 +72,21 @@ class TextEncoder:
     ``spaces`` says what the tokenizer does with white space, which is what makes pieces independent of their
     neighbours: ``dropped`` (pieces never hold it, letters are taken in lower case, and runs of letters, digits and other
     characters are apart), ``leading`` (a single space belongs to the word after it; texts with other white space go to
-    the tokenizer whole) or ``whole`` (nothing is known: every text goes to it whole).
+    the tokenizer whole) or ``whole`` (nothing is known: every text goes to it whole). Strings of special tokens are
+    what the library's plain call makes of them, one id each; with ``special_as_text`` they are ordinary text.
     """
 
-    def __init__(self, path: str, spaces: str, width: int):
+    def __init__(self, path: str, spaces: str, width: int, special_as_text: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.spaces, self.dtype, self.memo = spaces, f"<u{width}", {}
+        self.tokenizer.encode_special_tokens = special_as_text
+        special = [] if special_as_text else [re.escape(t.content.lower()) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special)) if special else None   # texts that hold one, in whatever case, go whole
+        self.spaces, self.dtype, self.memo, self.memo_bytes = spaces, f"<u{width}", {}, 0
         # white space that is no single space or line end; or that, and letters whose lower case depends on their place
         self.odd = re.compile(r"[ \n][ \n]|[^\S \n]") if spaces == "leading" else re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u03a3\u0130]")
         self.runs = re.compile(r"[.,](?:(?=[^\w\s]|_)|(?<=[^\w\s][.,])|(?<=_[.,]))")   # stops and commas that belong to a longer run
@@ -94,7 +114,7 @@ class TextEncoder:
         return out
 
     def _pieces(self, text: str) -> list[str] | None:
-        if self.spaces == "whole" or self.odd.search(text):
+        if self.spaces == "whole" or self.odd.search(text) or (self.special and self.special.search(text.lower())):
             return None
         if self.spaces == "dropped":
             text = text.lower().replace("\n", " ").replace("\t", " ").replace("\r", " ")
@@ -137,20 +157,15 @@ class TextEncoder:
             fresh = {p: b"" if p == "\r" or self.spaces == "dropped" else self._whole(p or " ") for p in blank}
             new = [p for p in missing if p not in fresh]
             fresh.update(zip(new, self._fresh(new), strict=True))
-            if len(self.memo) + len(fresh) <= MEMO_ENTRIES:
+            size = sum(len(p) + len(x) + ENTRY_BYTES for p, x in fresh.items())
+            if self.memo_bytes + size <= MEMO_BYTES:
                 self.memo.update(fresh)
+                self.memo_bytes += size
         return [self._whole(t) if f is None else b"".join([fresh[p] if x is None else x for p, x in zip(c, f, strict=True)] if None in f else f)
                 for t, c, f in zip(texts, cut, found, strict=True)]
 
 
-def kept_by_worker(name: object, make: Callable[[], object]):
-    """A value that lives as long as the Python worker, over its tasks (functions travel with each task, and so would globals)."""
-    store = sys.__dict__.setdefault("riskloom_kept", {})
-    if name not in store:
-        store[name] = make()
-    return store[name]
-
-
-def encoder(path: str, spaces: str, width: int) -> TextEncoder:
-    """The Python worker's encoder for a file."""
-    return kept_by_worker(("encoder", path, spaces, width), lambda: TextEncoder(path, spaces, width))
+@lru_cache(maxsize=1)
+def encoder(path: str, spaces: str, width: int, special_as_text: bool = False) -> TextEncoder:
+    """The Python worker's encoder for a file; its memo is bounded, and another file's takes its place."""
+    return TextEncoder(path, spaces, width, special_as_text)

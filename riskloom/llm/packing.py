@@ -7,7 +7,8 @@ or one less where a window is opened or filled up. At the end of the task (or wh
 its memory) the open windows are settled: the emptiest ones are cut up to fill the fullest, so at most one window per
 settling stays partly empty.
 
-Defined cases: a null text is empty and gives its end id alone; rows that repeat a document are packed each; an empty
+Defined cases: a null text is empty and gives its end id alone; strings of special tokens are what the tokenizers library's
+plain call makes of them; rows that repeat a document are packed each; an empty
 table gives no rows.
 """
 
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-from riskloom.llm.common import encoder, identified
+from riskloom.llm.common import encoder, identified, released
 
 Piece = tuple[int, int, int, bytes]   # document, its ids before the piece, ids of the document, the piece's ids (4 bytes each)
 
@@ -110,7 +111,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 1024, space
             rows.clear()
             return out
 
-        for b in batches:
+        for b in released(batches):
             for doc, ids in zip(b.column(0).to_pylist(), enc.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
                 whole = np.append(np.frombuffer(ids, f"<u{width}").astype("<u4"), np.uint32(end_id)).astype("<u4")
                 raw = whole.tobytes()

@@ -6,7 +6,7 @@ id in separate control bytes, the data bytes after them, so a reader looks lengt
 branches per id. Blocks are rows of Parquet files in ascending doc_id order (any store Spark can write, and task
 attempts commit as usual); the rank table is written beside them.
 
-Defined cases: a null text counts as empty and gives the end id alone; an empty table gives no rows; rows that repeat a
+Defined cases: strings of special tokens are what the tokenizers library's plain call makes of them; a null text counts as empty and gives the end id alone; an empty table gives no rows; rows that repeat a
 doc_id are kept, ordered by their ids.
 """
 
@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import encoder, identified, written
+from riskloom.llm.common import encoder, identified, released, written
 
 BLOCK_IDS = 65_536   # a block is closed by the document that passes this
 MAGIC = b"RLT1"
@@ -78,7 +78,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, spaces: str =
         import pyarrow as pa
 
         enc = encoder(tokenizer, spaces, width)
-        for b in batches:
+        for b in released(batches):
             ids = [x + end for x in enc.encode([t or "" for t in b.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 

@@ -12,31 +12,35 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
 
-def plain(path, texts):
+def plain(path, texts, special_as_text=False):
+    """The unaltered library; ``special_as_text`` is its one switch."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    if special_as_text:
+        t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("special_as_text", [False, True])
 @pytest.mark.parametrize("path, spaces", [(WORD, "dropped"), (BYTE, "leading")])
-def test_memoised_encoding_equals_the_tokenizer(path, spaces):
+def test_memoised_encoding_equals_the_tokenizer(path, spaces, special_as_text):
     from riskloom.llm.common import TextEncoder
 
     r = random.Random(5)
-    bits = ["a.", ",b", "._", ".9", "\u0301.", "\u0130", "a", "it's", "don't", " ", "  ", "\n", "\n\n", "\t", "\r\n", " ", "\x1c", " ", "9", "42", "!", "?!", "é", "é", "你好", "\U0001f600", "ΣΣ", "<|endoftext|>", "WORD", "\x00", "'s"]
-    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 14))) for _ in range(3000)]
+    bits = ["a.", ",b", "._", ".9", "\u0301.", "\u0130", "a", "it's", "don't", " ", "  ", "\n", "\n\n", "\t", "\r\n", " ", "\x1c", " ", "9", "42", "!", "?!", "é", "é", "你好", "\U0001f600", "ΣΣ", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "WORD", "\x00", "'s"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 14))) for _ in range(4000)]
     texts += [" x", "x ", "\nx", "x\n", " ", "", "\n", "a b c", "a\nb", "a \nb", "a\n b"]
-    enc = TextEncoder(path, spaces, 4)
-    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == plain(path, texts)
-    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == plain(path, texts)   # from the memo
+    enc = TextEncoder(path, spaces, 4, special_as_text)
+    want = plain(path, texts, special_as_text)
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == want
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == want   # from the memo
 
 
 def test_full_memo_still_encodes(monkeypatch):
     from riskloom.llm import common
 
-    monkeypatch.setattr(common, "MEMO_ENTRIES", 3)
+    monkeypatch.setattr(common, "MEMO_BYTES", 600)
     enc = common.TextEncoder(BYTE, "leading", 4)
     texts = ["one two three four five", "one two six"]
     for _ in range(2):
