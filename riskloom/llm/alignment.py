@@ -18,16 +18,18 @@ and rows without one are left out and not counted; texts of any length are align
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import identified, written
+from riskloom.llm.common import ENTRY_BYTES, MEMO_BYTES, encoder, identified, released, written
 
-#: Characters and documents of a chunk at most (a longer text is a chunk of its own).
-CHUNK_CHARS, CHUNK_ROWS = 4_000_000, 2048
+#: Characters and documents of a chunk at most (a longer text is a chunk of its own); characters encoded at a time.
+CHUNK_CHARS, CHUNK_ROWS, ENCODE_CHARS = 1_000_000, 2048, 100_000
 
 
 def byte_of_letter() -> dict[str, int]:
@@ -38,27 +40,25 @@ def byte_of_letter() -> dict[str, int]:
 
 
 class ByteLevel:
-    """A byte-level vocabulary of the tokenizers library; strings of special tokens are plain text."""
+    """A byte-level vocabulary of the tokenizers library, over space + text; strings of special tokens are plain text."""
 
     def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"   # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        letters, vocabulary = byte_of_letter(), self.tokenizer.get_vocab()
+        self.encoder = encoder(path, "leading", 4, special_as_text=True)
+        letters, vocabulary = byte_of_letter(), self.encoder.tokenizer.get_vocab()
         self.bytes = [b""] * (1 + max(vocabulary.values()))
         for entry, k in vocabulary.items():
             self.bytes[k] = bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.frombuffer(x, "<u4").astype(np.int32) for x in self.encoder.encode([" " + t for t in texts])]
 
 
 class Pieces:
-    """A sentencepiece model, which puts the space before a text itself."""
+    """A sentencepiece model, which puts the space before a text itself.
+
+    Where no piece holds a space behind another character, nothing joins over the start of a word, so words between
+    single spaces are encoded apart, each once as far as the memo reaches; other texts go to the model whole.
+    """
 
     def __init__(self, path: str):
         import sentencepiece
@@ -66,9 +66,33 @@ class Pieces:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(k) for k in range(self.model.get_piece_size())]
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
+        self.apart = not any("▁" in p.lstrip("▁") for p in pieces)
+        self.memo, self.memo_bytes = {}, 0
+
+    def _model(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x, "<i4").tobytes() for x in self.model.encode(texts, num_threads=1)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        # U+2581 in a text is what the model writes for a space
+        cut = [t.split(" ") if self.apart and not self.WHOLE.search(t) else None for t in texts]
+        new = list({w: None for ws in cut if ws for w in ws if w not in self.memo})
+        fresh = dict(zip(new, self._model(new), strict=True))
+        size = sum(len(w) + len(x) + ENTRY_BYTES for w, x in fresh.items())
+        if self.memo_bytes + size <= MEMO_BYTES:
+            self.memo.update(fresh)
+            self.memo_bytes += size
+        get = lambda w: self.memo.get(w) or fresh[w]
+        whole = iter(self._model([t for t, ws in zip(texts, cut, strict=True) if ws is None]))
+        return [np.frombuffer(next(whole) if ws is None else b"".join(map(get, ws)), "<i4") for ws in cut]
+
+    #: Texts that words between single spaces do not make up, or in which a character may change its neighbours.
+    WHOLE = re.compile(r"^$|^ | $|  |[^\S \n]|▁")
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+
+@lru_cache(maxsize=1)
+def sides(a_path: str, b_path: str) -> tuple[ByteLevel, Pieces]:
+    """The Python worker's two encoders; their memos are bounded."""
+    return ByteLevel(a_path), Pieces(b_path)
 
 
 def coalesced(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,21 +143,53 @@ class Aligned:
         return self.a_ends[self.i] == self.b_ends[self.j]
 
 
+def spelt(ids: np.ndarray, table: list[bytes], raw: np.ndarray) -> np.ndarray:
+    """Places where the bytes of the tokens, end to end, differ from ``raw`` of the same length."""
+    lengths = np.fromiter(map(len, table), np.int64, len(table))
+    letters = np.frombuffer(b"".join(table), np.uint8)
+    n = lengths[ids]
+    at = np.repeat((np.cumsum(lengths) - lengths)[ids] - (np.cumsum(n) - n), n)
+    at += np.arange(len(at))
+    return np.flatnonzero(letters[at] != raw)
+
+
 def align(texts: list[str], a: ByteLevel, b: Pieces) -> Aligned:
-    full = [(" " + t).encode() for t in texts]
-    sides = [(s.encode(texts), s.bytes) for s in (a, b)]
-    ok = np.array([len(r) > 1 and all(b"".join(map(table.__getitem__, ids[k])) == r for ids, table in sides) for k, r in enumerate(full)], bool)
+    ids: tuple[list, list] = ([], [])
+    for part in parts_of(texts, ENCODE_CHARS, len(texts)):
+        for side, s in zip(ids, (a, b), strict=True):
+            side += s.encode(texts[part])
+    raw = [(" " + t).encode() for t in texts]
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+    lengths = [np.fromiter(map(len, s.bytes), np.int64, len(s.bytes)) for s in (a, b)]
+    ok = sizes > 1
+    for side, n in zip(ids, lengths, strict=True):
+        ok &= np.array([int(n[x].sum()) for x in side], np.int64) == sizes
+    for side, s in zip(ids, (a, b), strict=True):
+        at = np.flatnonzero(ok)
+        if len(at):
+            wrong = spelt(np.concatenate([side[k] for k in at]), s.bytes, np.frombuffer(b"".join(raw[k] for k in at), np.uint8))
+            ok[at[np.searchsorted(np.cumsum(sizes[at]), wrong, side="right")]] = False
     parts = []
-    for ids, table in sides:
-        kept = [ids[k] for k in np.flatnonzero(ok)]
-        sizes = np.array([len(x) for x in kept], np.int64)
-        flat = np.concatenate([np.array(x, np.int64) for x in kept]) if kept else np.zeros(0, np.int64)
-        lengths = np.fromiter(map(len, table), np.int64, len(table))
-        parts.append((flat, np.cumsum(lengths[flat]), np.repeat(np.arange(len(kept)), sizes)))
+    for side, n in zip(ids, lengths, strict=True):
+        kept = [side[k] for k in np.flatnonzero(ok)]
+        flat = np.concatenate(kept) if kept else np.zeros(0, np.int32)
+        parts.append((flat, np.cumsum(n[flat]), np.repeat(np.arange(len(kept), dtype=np.int32), [len(x) for x in kept])))
     (x, x_ends, x_doc), (y, y_ends, y_doc) = parts
     return Aligned(ok, x, y, x_ends, y_ends, x_doc, y_doc, *coalesced(x_ends, y_ends), *overlaps(x_ends, y_ends))
 
 
+def parts_of(texts: list[str], most_chars: int, most_rows: int):
+    """Slices of texts of bounded size (a longer text is one of its own)."""
+    at = 0
+    while at < len(texts):
+        to, chars = at, 0
+        while to < len(texts) and to - at < most_rows and (to == at or chars + len(texts[to]) <= most_chars):
+            chars += len(texts[to])
+            to += 1
+        yield slice(at, to)
+        at = to
+
+
 def group_texts(c: Aligned, names: list[str], shift: int) -> list[str]:
     """``a1,a2|b1;a3|b2,b3`` of each document that has tokens. ``names``: ``name_table``; ``shift``: ids on side A."""
     groups = int(c.a_group[-1]) + 1 if len(c.a_group) else 0
@@ -154,16 +210,10 @@ def name_table(a: int, b: int) -> list[str]:
 
 def chunks(batches):
     """(doc_ids, texts) of bounded size."""
-    for t in batches:
+    for t in (b.slice(at, CHUNK_ROWS) for b in released(batches) for at in range(0, b.num_rows, CHUNK_ROWS)):
         ids, texts = t.column(0).to_pylist(), [x or "" for x in t.column(1).to_pylist()]
-        at = 0
-        while at < len(ids):
-            to, chars = at, 0
-            while to < len(ids) and to - at < CHUNK_ROWS and (to == at or chars + len(texts[to]) <= CHUNK_CHARS):
-                chars += len(texts[to])
-                to += 1
-            yield ids[at:to], texts[at:to]
-            at = to
+        for part in parts_of(texts, CHUNK_CHARS, CHUNK_ROWS):
+            yield ids[part], texts[part]
 
 
 def aligned_groups(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -173,7 +223,7 @@ def aligned_groups(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        a, b = ByteLevel(a_path), Pieces(b_path)
+        a, b = sides(a_path, b_path)
         for ids, texts in chunks(batches):
             c = align(texts, a, b)
             named = np.array(ids, np.int64)[c.ok]
@@ -189,7 +239,7 @@ def aligned_groups(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             links = pa.StructArray.from_arrays(
                 [pa.array((c.i - a_at[pair_group]).astype(np.int32)), pa.array((c.j - b_at[pair_group]).astype(np.int32)), pa.array(c.together)], names=["a", "b", "together"])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(named[doc]), pa.array(np.arange(groups) - first), pa.array(edge[:-1] - base[doc]), pa.array(edge[1:] - base[doc]), lists(a_at, c.a.astype(np.int32)), lists(b_at, c.b.astype(np.int32)),
+                [pa.array(named[doc]), pa.array(np.arange(groups) - first), pa.array(edge[:-1] - base[doc]), pa.array(edge[1:] - base[doc]), lists(a_at, c.a), lists(b_at, c.b),
                  pa.ListArray.from_arrays(pa.array(o_at.astype(np.int32)), links)], names=["doc_id", "group", "start", "end", "a_ids", "b_ids", "overlaps"])
 
     return identified(docs).mapInArrow(run, "doc_id bigint, group bigint, start bigint, end bigint, a_ids array<int>, b_ids array<int>, overlaps array<struct<a:int,b:int,together:boolean>>")
@@ -206,7 +256,7 @@ def summaries(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        a, b = ByteLevel(a_path), Pieces(b_path)
+        a, b = sides(a_path, b_path)
         names, shift = name_table(len(a.bytes), len(b.bytes)), len(a.bytes)
         schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in ("n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string()), ("chunk", pa.int64()), ("links", pa.binary()),
                             ("pairs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
@@ -218,7 +268,7 @@ def summaries(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             kept, full = int(c.ok.sum()), len(ids)
             together = c.together
             i, j = c.i[together], c.j[together]
-            pairs, place, counts = np.unique(c.a[i] << 32 | c.b[j], return_inverse=True, return_counts=True)
+            pairs, place, counts = np.unique(c.a[i].astype(np.int64) << 32 | c.b[j], return_inverse=True, return_counts=True)
             place = place.astype("<u2" if len(pairs) <= 1 << 16 else "<u4")
             per = lambda doc: np.bincount(doc, minlength=kept)
             group_doc = c.a_doc[np.flatnonzero(np.append(True, c.a_group[1:] != c.a_group[:-1])[: len(c.a_group)])]
