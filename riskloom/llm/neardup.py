@@ -15,10 +15,10 @@ rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import identified, written
+from riskloom.llm.common import identified, released, written
 from riskloom.llm.links import maybe_in, similar_components
 from riskloom.llm.shingles import coordinate_keys, digest, minhash, permutations, shingle_set, split_words
 
@@ -28,24 +28,28 @@ MATCHES = 36
 PERCENT = 80
 
 
+def text_id(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def signed(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, set_id (16 bytes; null for empty sets), keys (one a coordinate)."""
+    """doc_id, text_id, n_shingles, set_id (16 bytes; null for empty sets), keys (one a coordinate)."""
     a, b = permutations(COORDINATES)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        for t in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+        for t in (b.slice(at, 1024) for b in released(batches) for at in range(0, b.num_rows, 1024)):
             sets = [shingle_set(split_words(x or ""), width) for x in t.column(1).to_pylist()]
             keys = [coordinate_keys(minhash(s, a, b)) for s in sets if len(s)]
             ends = np.cumsum([0] + [COORDINATES * (len(s) > 0) for s in sets]).astype(np.int32)
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [t.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "n_shingles", "set_id", "keys"])
+                [t.column(0), t.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "text_id", "n_shingles", "set_id", "keys"])
 
-    return identified(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, set_id binary, keys array<bigint>")
+    return identified(docs).withColumn("text_id", text_id(F.col("text"))).mapInArrow(run, "doc_id bigint, text_id bigint, n_shingles bigint, set_id binary, keys array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -54,7 +58,7 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for t in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+        for t in (b.slice(at, 1024) for b in released(batches) for at in range(0, b.num_rows, 1024)):
             sets = [shingle_set(split_words(x or ""), width) for x in t.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [t.column(0), pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "set_id", "hashes"])
@@ -71,25 +75,37 @@ def prefix_lists(reps: DataFrame, coordinates: int = COORDINATES, matches: int =
     return shared.where(take > 0).select("id", F.explode(F.slice("by_rarity", F.lit(1), take)).alias("p")).select("p.key", "id")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (it is its own component's first)."""
+def classed(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """doc_id, text_id, n_shingles, component_id of every row. Classes have numbers of their own, so that texts which share
+    a doc_id stay apart; the smallest doc_id names a component at the end."""
     light = written(signed(docs, width), "signed")
-    classes = written(light.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.count("*").alias("weight")), "classes")
-    one = classes.select("id", F.col("set_id").alias("of"))
-    reps = light.join(one, (F.col("doc_id") == F.col("id")) & (F.col("set_id") == F.col("of"))).dropDuplicates(["id", "set_id"]).select("id", "keys")
+    classes = light.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first"), F.count("*").alias("weight"))
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    one = classes.select("id", F.col("set_id").alias("of"), "first")
+    reps = light.join(one, (F.col("doc_id") == F.col("first")) & (F.col("set_id") == F.col("of"))).dropDuplicates(["id"]).select("id", "keys")
     lists = written(prefix_lists(reps), "lists")
-    ids = lists.select("id").distinct()
-    full = shingle_sets(maybe_in(identified(docs), "doc_id", ids), width)
-    sets = written(full.join(classes.join(ids, "id"), (F.col("doc_id") == F.col("id")) & (full["set_id"] == classes["set_id"]))
+    posted = one.join(lists.select("id").distinct(), "id").join(classes.select("id", "weight"), "id")
+    full = shingle_sets(maybe_in(identified(docs), "doc_id", posted.select("first").distinct()), width)
+    sets = written(full.join(posted, (F.col("doc_id") == F.col("first")) & (F.col("set_id") == F.col("of")))
                    .select("id", "weight", "hashes").dropDuplicates(["id"]), "sets")
     found = similar_components(lists, sets, percent)
-    named = classes.join(found, "id", "left").select(F.col("set_id").alias("of"), F.coalesce("component", "id").alias("component"))
-    placed = light.select("doc_id", "n_shingles", "set_id").join(named, F.col("set_id") == F.col("of"), "left")
-    component = F.coalesce("component", "doc_id")
-    return placed.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    grouped = classes.select("id", "set_id", "first").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    smallest = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = grouped.join(smallest, "component").select(F.col("set_id").alias("of"), "component_id")
+    placed = light.select("doc_id", "text_id", "n_shingles", "set_id").join(named, F.col("set_id") == F.col("of"), "left")
+    return placed.select("doc_id", "text_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (it is its own component's first)."""
+    return classed(docs, percent, width).select("doc_id", "n_shingles", "component_id", (F.col("component_id") == F.col("doc_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """One document of each component, columns as given."""
-    kept = near_duplicates(docs, percent, width).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("bigint") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each component (the smallest doc_id's, of its texts in the component the one with the smallest hash),
+    columns as given; rows without words have no component and one of each doc_id and text stays."""
+    kept = classed(docs, percent, width).where("component_id = doc_id")
+    one = kept.where("n_shingles > 0").groupBy("component_id").agg(F.min("text_id").alias("__text")).select(F.col("component_id").alias("__id"), "__text")
+    empty = kept.where("n_shingles = 0").select(F.col("doc_id").alias("__id"), F.col("text_id").alias("__text")).distinct()
+    row = (F.col("doc_id").cast("bigint") == F.col("__id")) & (text_id(F.col("text")) == F.col("__text"))
+    return docs.join(one.unionByName(empty), row, "left_semi").withColumn("__text", text_id(F.col("text"))).dropDuplicates(["doc_id", "__text"]).drop("__text")

@@ -23,12 +23,13 @@ import math
 import re
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import identified, written
+from riskloom.llm.common import identified, released, written
 from riskloom.llm.links import maybe_in, similar_components
-from riskloom.llm.shingles import digest, minhash, mixed, permutations, rolled, shingle_set, split_words, word_hashes
+from riskloom.llm.shingles import CHUNK, minhash, mixed, permutations, rolled, shingle_set, split_words, word_hashes
 
 MIN_WORDS = 20
 WIDTH = 5
@@ -36,6 +37,7 @@ PERCENT = 80
 RECALL = 0.9999   # of pairs at the similarity itself
 MAX_BANDS = 16
 RUN, SEED = 20, 10      # words of a window, of a posted hash
+LINE_WORDS = 1 << 16    # words of lines sketched together
 GAP, PASSAGE = 5, 40    # words between windows of one passage at most, of a passage at least
 
 
@@ -53,43 +55,73 @@ def paragraphs(docs: DataFrame, bands: int, rows: int, min_words: int = MIN_WORD
     a, b = permutations(bands * rows)
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
-        names = ["doc_id", "line", "start", "end", "n_words", "class_id", "keys"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-        salt = np.arange(1, bands + 1, dtype=np.uint64)
-        batch = lambda out: pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-        for t in batches:
-            out: list[tuple] = []
+        names = ["doc_id", "line", "start", "end", "n_words", "class_id"]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+        def closed(places: list[tuple], hashes: list[np.ndarray]):
+            keys = band_keys(line_minhashes(hashes, width, a, b), bands, rows).view(np.int64)
+            ends = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands)
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*places, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))], names=[*names, "keys"])
+
+        for t in released(batches):
+            places, hashes, n = [], [], 0
             for doc, text in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True):
                 at = 0
                 for k, line in enumerate((text or "").split("\n")):
                     ws = split_words(line)
                     if len(ws) >= min_words:
-                        low = minhash(shingle_set(ws, width), a, b).reshape(bands, rows)
-                        key = salt
-                        for r in range(rows):
-                            key = mixed(key + low[:, r])
-                        out.append((doc, k, at, at + len(line), len(ws), digest(np.frombuffer(b" ".join(ws), np.uint8)), key.view(np.int64)))
+                        places.append((doc, k, at, at + len(line), len(ws), xxhash.xxh3_128_digest(b" ".join(ws))))
+                        hashes.append(word_hashes(ws))
+                        n += len(ws)
                     at += len(line) + 1
-                if len(out) >= 4096:
-                    yield batch(out)
-                    out = []
-            if out:
-                yield batch(out)
+                if n >= LINE_WORDS:
+                    yield closed(places, hashes)
+                    places, hashes, n = [], [], 0
+            if places:
+                yield closed(places, hashes)
 
     found = identified(docs).mapInArrow(run, "doc_id bigint, line int, start bigint, end bigint, n_words bigint, class_id binary, keys array<bigint>")
     return found.withColumn("id", F.xxhash64("doc_id", "line"))
 
 
+def line_minhashes(hashes: list[np.ndarray], width: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest value of each permutation over each line's shingles, many lines at a time. ``hashes``: of a line's words,
+    ``width`` or more."""
+    grams = [rolled(h, width) for h in hashes]
+    out, at = np.empty((len(grams), len(a)), np.uint64), 0
+    while at < len(grams):
+        to, n = at + 1, len(grams[at])
+        while to < len(grams) and n + len(grams[to]) <= CHUNK:
+            n += len(grams[to])
+            to += 1
+        if n > CHUNK:      # one long line
+            out[at] = minhash(grams[at], a, b)
+        else:
+            first = np.cumsum([0] + [len(g) for g in grams[at: to - 1]])
+            out[at:to] = np.minimum.reduceat(np.concatenate(grams[at:to])[:, None] * a + b, first, axis=0)
+        at = to
+    return out
+
+
+def band_keys(low: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One key for each band of a line's smallest values."""
+    low = low.reshape(-1, bands, rows)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), low.shape[:2])
+    for r in range(rows):
+        key = mixed(key + low[:, :, r])
+    return key
+
+
 def paragraph_sets(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     """id, hashes of the paragraphs' full sets; ``rows``: id, text."""
 
     def run(batches):
         import pyarrow as pa
 
-        for t in batches:
+        for t in released(batches):
             sets = [shingle_set(split_words(x), width).tobytes() for x in t.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([t.column(0), pa.array(sets, pa.binary())], names=["id", "hashes"])
 
@@ -143,7 +175,7 @@ def posted_seeds(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for t in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+        for t in (b.slice(at, 256) for b in released(batches) for at in range(0, b.num_rows, 256)):
             ids, keys, lines = [], [], []
             for doc, text in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True):
                 ws, line = _line_of_words(text or "")
@@ -168,7 +200,7 @@ def windows(rows: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for t in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
+        for t in (b.slice(at, 64) for b in released(batches) for at in range(0, b.num_rows, 64)):
             out: list[list] = [[], [], []]
             for doc, text, keys in zip(*(t.column(k).to_pylist() for k in range(3)), strict=True):
                 ws, line = _line_of_words(text or "")
@@ -193,7 +225,7 @@ def _joined(rows: DataFrame) -> DataFrame:
 
         names = ["doc_id", "text_id", "line", "start", "end", "n_words", "kept_doc_id", "hash"]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        for t in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
+        for t in (b.slice(at, 64) for b in released(batches) for at in range(0, b.num_rows, 64)):
             out: list[tuple] = []
             for doc, text_id, text, found, gone in zip(*(t.column(k).to_pylist() for k in range(5)), strict=True):
                 ws, line = _line_of_words(text or "")

@@ -131,3 +131,46 @@ def test_sketch_estimates_containment_and_merges(spark):
     low = -(1 << 63) + (1 << 64) // sketch.PART
     assert set(r.m) == {h for h in set(r.p) | set(r.o) if h < low or h == min(r.p + r.o)}
     assert min(r.p) < low
+
+
+def test_texts_that_share_a_doc_id_stay_apart(spark):
+    a, b = prose(31, 90), prose(32, 90)
+    table = [(1, a), (1, b), (2, near(a, 1, 2)), (3, near(b, 2, 2)), (4, prose(33, 90)), (1, a), (5, None), (5, "")]
+    d = spark.createDataFrame(table, "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(d).collect()) == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (5, 5)]
+    moved = spark.createDataFrame([(7, a), (7, b), (2, near(a, 1, 2)), (9, near(b, 2, 2))], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(moved).collect()) == [(2, 2), (7, 2), (7, 7), (9, 7)]
+    assert sorted((r.doc_id, r.text) for r in neardup.deduplicated(moved).collect()) == [(2, near(a, 1, 2)), (7, b)]
+
+
+def test_blocks_return_forests(spark):
+    """Joined pairs of a block equal the components of all pairs, and there is one fewer than members at most."""
+    import numpy as np
+
+    r = np.random.default_rng(8)
+    for _ in range(40):
+        n = int(r.integers(2, 30))
+        sets = [np.unique(r.integers(0, 14, r.integers(1, 14)).astype(np.uint64)) for _ in range(n)]
+        main = r.random(n) < 0.3
+        comp = np.where(main, 1000, np.arange(n))
+        out = links._joined(comp, main, sets, 80)
+        assert len(out) < n and all(links.alike(sets[x], sets[y], 80) for x, y in out)
+        want = components(list(range(n)), lambda a, b: (main[a] and main[b]) or links.alike(sets[a], sets[b], 80))
+        got = components(list(range(n)), lambda a, b: (main[a] and main[b]) or (a, b) in out or (b, a) in out)
+        assert got == want
+
+
+def test_unlinked_near_misses_make_no_pairs(spark):
+    """Documents at about 0.7: candidates by signature, none linked; what leaves the blocks grows with the members."""
+    base, found = prose(77, 400), []
+    for n in (60, 120):
+        d = spark.createDataFrame([(k, near(base, k, 16)) for k in range(n)], "doc_id bigint, text string")
+        light = neardup.signed(d).select(F.col("doc_id").alias("id"), "keys")
+        lists = neardup.prefix_lists(light).cache()
+        sets = neardup.shingle_sets(d).select(F.col("doc_id").alias("id"), F.lit(1).alias("weight"), "hashes").cache()
+        alone = lists.select("id", F.col("id").alias("component")).distinct()
+        flagged = links._flagged(links._blocks(lists, alone, links._signatures(sets, lists)), 0, 80)
+        assert links._forest(flagged, sets, 80).count() == 0
+        found.append((flagged.count(), lists.count()))
+        assert found[-1][0] <= 2 * found[-1][1]
+    assert found[1][0] < 3.5 * max(1, found[0][0])
