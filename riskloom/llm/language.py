@@ -12,11 +12,11 @@ rows that repeat a doc_id are predicted each; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +32,7 @@ FAMILIES = {
     "slavic": "ru uk be pl cs sk sl hr sr bs bg mk".split(),
 }
 FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs}
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = r"\p{L}"   # numbers such as ² or Ⅷ are none
 
 
 def held_out(doc_id: Column) -> Column:
@@ -55,7 +55,7 @@ class LanguageModel:
     pairs: dict[tuple[str, str], tuple[np.ndarray, float]] = field(default_factory=dict)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.families or not text or not LETTER.search(text):
+        if not self.families or not text or not regex.search(LETTER, text):
             return UNKNOWN, 0.0
         x = features(text)
         z = self.family_weights @ x + self.family_bias
@@ -79,7 +79,7 @@ class LanguageModel:
 def labelled_sample(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
     """lang, features of about ``per_language`` training rows a language at most."""
     rows = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").where(~held_out(F.col("doc_id")))
-    rows = rows.where(F.col("text").rlike(r"\p{L}"))
+    rows = rows.where(F.col("text").rlike(LETTER))
     parts = rows.groupBy("lang").agg((F.lit(per_language) / F.count("*")).alias("part")).withColumnRenamed("lang", "of")
     # parts has one row per language
     chance = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(8)), 33) / F.lit(float(1 << 31))

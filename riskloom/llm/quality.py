@@ -1,13 +1,13 @@
 """Quality rules with cross-document line frequency, by DataFrame functions only.
 
-Lines are normalised (ASCII lower case, digit runs as 0, white space runs as one space) and hashed; for each host (the
+Lines are normalised (lower case, digit runs as 0, white space runs as one space) and hashed; for each host (the
 source) and line the distinct documents that hold it are counted. A line held by more than ``least`` documents and more
-than ``part`` of the host's documents (or by more than ``many``, whatever the host's size) is boilerplate: it is removed from all documents of the host but the one with the
-smallest doc_id. A document is rejected when it fails the base rules (too few words, too much of it in repeated windows)
+than ``part`` of the host's documents (or by more than ``many``, whatever the host's size) is boilerplate: it is removed
+from all documents of the host but the one with the smallest doc_id. A document is rejected when it fails the base rules (too few words, too much of it in repeated windows)
 or is depleted: too few words, or too small a part of its words, are left.
 
 Defined cases: a null text has no words and fails; a null source is a host of its own; rows that repeat a doc_id count
-as one document and get equal verdicts if their texts are equal; an empty table gives no rows.
+as one document where documents are counted, and each of its texts has its own verdict; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +25,11 @@ MANY = 100                     # with a line above this its host's size does not
 LEFT_WORDS, LEFT_PART = 20, 0.3  # less left is depleted
 
 
+def text_id(text: Column) -> Column:
+    """Tells texts apart that share a doc_id."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def repeated_words(ws: Column, window: int = WINDOW) -> Column:
     """Words that lie in windows found twice or more in the text, the first one included."""
 
@@ -54,7 +59,7 @@ def has_word(line: Column) -> Column:
 
 
 def base_stats(docs: DataFrame) -> DataFrame:
-    """doc_id, host, the base counts, base_failed, and of every line with a word: number, hash, words."""
+    """doc_id, host, text_id, the base counts, base_failed, and of every line with a word: number, hash, words."""
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def counts(ws: Column) -> Column:
@@ -67,11 +72,11 @@ def base_stats(docs: DataFrame) -> DataFrame:
             F.transform(ls, lambda x: F.struct(x["i"].alias("i"), F.xxhash64(normalised(x["line"])).alias("hash"), F.size(words(x["line"])).alias("n"))).alias("lines")))
 
     found = identified(docs, F.col("source").cast("string").alias("host")).select(
-        "doc_id", "host", let(words(text), counts).alias("w"), let(F.split(text, "\n"), lines).alias("l"),
+        "doc_id", "host", text_id(F.col("text")).alias("text_id"), let(words(text), counts).alias("w"), let(F.split(text, "\n"), lines).alias("l"),
         (F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]", ""))).alias("n_symbols"))
     big = lambda c: F.col(c).cast("bigint")
     return found.select(
-        "doc_id", "host", big("w.n_words").alias("n_words"), big("w.word_chars").alias("word_chars"), big("n_symbols").alias("n_symbols"),
+        "doc_id", "host", "text_id", big("w.n_words").alias("n_words"), big("w.word_chars").alias("word_chars"), big("n_symbols").alias("n_symbols"),
         big("l.n_dup_lines").alias("n_dup_lines"), big("w.n_repeat_words").alias("n_repeat_words"),
         ((F.col("w.n_words") < MIN_WORDS) | (100 * big("w.n_repeat_words") > REPEAT_PERCENT * big("w.n_words"))).alias("base_failed"),
         F.col("l.lines").alias("lines"))
@@ -90,14 +95,14 @@ def boilerplate(stats: DataFrame, least: int = LEAST, part: float = PART, many:
 
 
 def verdicts(docs: DataFrame, least: int = LEAST, part: float = PART, many: int | None = None) -> DataFrame:
-    """doc_id, the base counts, base_failed, removed (line numbers), n_removed_words, depleted, kept."""
+    """doc_id, text_id, the base counts, base_failed, removed (line numbers), n_removed_words, depleted, kept."""
     stats = written(base_stats(docs), "quality")
     hot = boilerplate(stats, least, part, many)
-    each = stats.select("doc_id", "host", F.explode("lines").alias("x")).select("doc_id", "host", F.col("x.i").alias("i"), F.col("x.hash").alias("hash"), F.col("x.n").alias("n"))
+    each = stats.select("doc_id", "host", "text_id", F.explode("lines").alias("x")).select("doc_id", "text_id", "host", F.col("x.i").alias("i"), F.col("x.hash").alias("hash"), F.col("x.n").alias("n"))
     gone = each.join(hot, each["host"].eqNullSafe(hot["host"]) & (each["hash"] == hot["hash"])).where("doc_id <> first_doc")
-    by_doc = gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("i")).alias("removed"), F.collect_set(F.struct("i", "n")).alias("cut"))
-    lost = by_doc.select("doc_id", "removed", F.aggregate("cut", F.lit(0).cast("bigint"), lambda a, x: a + x["n"]).alias("lost"))
-    out = stats.drop("lines", "host").join(lost, "doc_id", "left").withColumn("lost", F.coalesce("lost", F.lit(0)))
+    by_doc = gone.groupBy("doc_id", "text_id").agg(F.sort_array(F.collect_set("i")).alias("removed"), F.collect_set(F.struct("i", "n")).alias("cut"))
+    lost = by_doc.select("doc_id", "text_id", "removed", F.aggregate("cut", F.lit(0).cast("bigint"), lambda a, x: a + x["n"]).alias("lost"))
+    out = stats.drop("lines", "host").join(lost, ["doc_id", "text_id"], "left").withColumn("lost", F.coalesce("lost", F.lit(0)))
     left = F.col("n_words") - F.col("lost")
     return (out.withColumn("depleted", (F.col("lost") > 0) & ((left < LEFT_WORDS) | (left < LEFT_PART * F.col("n_words"))))
         .withColumn("kept", ~F.col("base_failed") & ~F.col("depleted")).withColumnRenamed("lost", "n_removed_words"))
@@ -105,8 +110,8 @@ def verdicts(docs: DataFrame, least: int = LEAST, part: float = PART, many: int
 
 def cleaned(docs: DataFrame, many: int | None = None) -> DataFrame:
     """The kept documents without their boilerplate lines; columns as given, n_chars (if there) of the new text."""
-    kept = verdicts(docs, many=many).where("kept").select(F.col("doc_id").alias("__id"), F.col("removed").alias("__gone")).dropDuplicates(["__id"])
-    rows = docs.join(kept, F.col("doc_id").cast("bigint") == F.col("__id"))
+    kept = verdicts(docs, many=many).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_id").alias("__text"), F.col("removed").alias("__gone")).dropDuplicates(["__id", "__text"])
+    rows = docs.join(kept, (F.col("doc_id").cast("bigint") == F.col("__id")) & (text_id(F.col("text")) == F.col("__text")))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(
         F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n"))
     rows = rows.withColumn("text", text)

@@ -77,7 +77,7 @@ def op8_family_then_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every text and the verdict after boilerplate lines of its host are removed."""
-    v = quality.verdicts(documents(prepare(spark), sf_dir))
+    v = quality.verdicts(documents(prepare(spark), sf_dir), many=quality.MANY)
     return v.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
 
 
@@ -126,7 +126,7 @@ l AS (SELECT *, trim(regexp_replace(regexp_replace(lower(line), '[\x20\x09-\x0D]
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY doc_id),
 hosts AS (SELECT host, count(DISTINCT doc_id) AS docs FROM d GROUP BY host),
 hot AS (SELECT l.host, norm, min(doc_id) AS first_doc FROM l JOIN hosts ON l.host IS NOT DISTINCT FROM hosts.host
-  GROUP BY l.host, norm, docs HAVING count(DISTINCT doc_id) > {quality.LEAST} AND count(DISTINCT doc_id) > {quality.PART} * docs),
+  GROUP BY l.host, norm, docs HAVING count(DISTINCT doc_id) > {quality.LEAST} AND (count(DISTINCT doc_id) > {quality.PART} * docs OR count(DISTINCT doc_id) > {quality.MANY})),
 lost AS (SELECT l.doc_id, sum(n) AS lost FROM l JOIN hot ON l.host IS NOT DISTINCT FROM hot.host AND l.norm = hot.norm WHERE l.doc_id <> first_doc GROUP BY l.doc_id),
 b AS (SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
   coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost, 0) AS lost

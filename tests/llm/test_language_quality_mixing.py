@@ -143,3 +143,26 @@ def test_mixed_documents_repeat_as_often_as_taken(docs, none):
     copies = collections.Counter(r[0] for r in named(rows()))
     assert got == +collections.Counter({k: n * copies[k] for k, n in want.items()})
     assert mixing.mix(none).count() == 0 and mixing.mixed(none).count() == 0
+
+
+def test_numbers_are_no_letters(spark, docs):
+    odd = spark.createDataFrame([(1, "² ½ Ⅷ ①"), (2, "__ 42"), (3, "ª")], "doc_id bigint, text string")
+    model = language.fit(docs)
+    said = {r.doc_id: r.lang_pred for r in language.predict(odd, model).collect()}
+    assert said[1] == said[2] == language.UNKNOWN != said[3]
+
+
+def test_a_line_of_many_documents_goes_on_a_huge_host(spark):
+    """Under one per cent of its host, over 100 documents: the op9 query's limit does not grow with the host."""
+    line, n = "all rights reserved by the owner of this page", 14_000
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda k: F.concat(F.lit("w"), F.hex(F.xxhash64("id", k)))), " ")
+    d = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(words, F.when(F.col("id") < 120, "\n" + line).otherwise("")).alias("text"), F.lit("big").alias("source"))
+    cut = quality.verdicts(d, many=quality.MANY).where("n_removed_words > 0").select("doc_id").collect()
+    assert sorted(r.doc_id for r in cut) == list(range(1, 120))
+    assert quality.verdicts(d).where("n_removed_words > 0").count() == 0
+
+
+def test_texts_that_share_a_doc_id_have_verdicts_of_their_own(spark):
+    good = " ".join(f"word{k}" for k in range(40))
+    d = spark.createDataFrame([(1, good, "s"), (1, "too short", "s"), (2, good, "s")], "doc_id bigint, text string, source string")
+    assert sorted((r.doc_id, r.text) for r in quality.cleaned(d).collect()) == [(1, good), (2, good)]
