@@ -57,17 +57,23 @@ def calibrated_score(model: dict, event: Column, subtype: Column, sentiment: Col
 
     ``model``: class_logit, default_logit, class_support, knots [(x, y)], diffusion_centre.
     """
-    supported = [c for c, n in model["class_support"].items() if n >= fin.MIN_CLASS_SUPPORT]
     prior = sigmoid(prior_logit(event, subtype, sentiment, publishers, social, authoritative, novelty, relevance))
+    parts = calibrated_parts(model, event, subtype, sentiment, publishers, social, authoritative, novelty, relevance)
+    p = F.when(parts["use"], interpolate(parts["z"], model["knots"])).otherwise(prior)
+    return F.struct(to_impact(p).alias("impact"), p.alias("p"), parts["use"].alias("calibrated"))
+
+
+def calibrated_parts(model: dict, event: Column, subtype: Column, sentiment: Column, publishers: Column, social: Column,
+                     authoritative: Column, novelty: Column, relevance: Column) -> Column:
+    """struct<z, use>: the fitted logit, and whether the class has support enough to use it."""
+    supported = [c for c, n in model["class_support"].items() if n >= fin.MIN_CLASS_SUPPORT]
     z = (
         _lookup(model["class_logit"], event, model["default_logit"])
         + fin.W_SENTIMENT * (F.least(F.lit(1.0), F.abs(sentiment)) - 0.5)
         + diffusion_logit(publishers, social, novelty, relevance) - model.get("diffusion_centre", fin.DIFFUSION_CENTRE)
     )
-    p_cal = interpolate(z, model["knots"])
     use = event.isin(supported) & ~F.coalesce(subtype, F.lit("")).isin(sorted(fin.SUBTYPE_PRIOR))
-    p = F.when(use, p_cal).otherwise(prior)
-    return F.struct(to_impact(p).alias("impact"), p.alias("p"), use.alias("calibrated"))
+    return F.struct(z.alias("z"), use.alias("use"))
 
 
 def naive_impact(sentiment: Column) -> Column:

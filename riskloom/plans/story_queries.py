@@ -116,15 +116,18 @@ def w18(spark, sf):
     return g.join(posts, ["entity_id", "doc_id"]).groupBy("cluster_id", "group_id").agg(F.count("*").alias("posts"), F.count_distinct("author").alias("authors"))
 
 
-@query("m03_event_signals")
-def m03(spark, sf):
-    """One re-scored event signal per story update."""
-    e = event_rows(spark, sf)
+def signal_columns(e):
     return e.select("signal_id", "cluster_id", secs("as_of").alias("at"), "event", F.coalesce("subtype", F.lit("")).alias("subtype"), "event_conf", "sentiment", "sent_conf",
                     big("impact").alias("impact"), big("publishers").alias("publishers"), big("publishers_60m").alias("publishers_60m"), big("social_authors").alias("social_authors"),
                     "status", F.concat_ws(",", "flags").alias("flags"))
 
 
+@query("m03_event_signals")
+def m03(spark, sf):
+    """One re-scored event signal per story update."""
+    return signal_columns(event_rows(spark, sf))
+
+
 @query("w04_publishers_60m")
 def w04(spark, sf):
     """Rolling distinct publishers of the last hour: how many updates have how many."""

@@ -65,5 +65,7 @@ def spread(df: DataFrame) -> DataFrame:
 
     Real tables have far more splits than cores and pass through untouched.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
