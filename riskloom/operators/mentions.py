@@ -216,6 +216,26 @@ def windows_of(text: Column, spans: Column, others: Column, limit: int = 3, spli
                   lambda ws: F.when(F.size(ws) > 0, ws).otherwise(F.array(fallback)))
 
 
+def mean_probs(ps: Column) -> Column:
+    """The mean of array<struct<neg, neu, pos>>."""
+    def mean(v: Column) -> Column:
+        def part(name: str) -> Column:
+            return (F.aggregate(v, F.lit(0.0), lambda a, p: a + p[name]) / F.size(v)).alias(name)
+        return F.struct(part("neg"), part("neu"), part("pos"))
+
+    return tx.let(ps, mean)
+
+
+def window_items(text: Column, windows: Column, spans: Column, others: Column) -> Column:
+    """array<struct<text, target, others>>: each window with the spans that lie in it, counted from its start."""
+    def inside(w: Column, all_spans: Column) -> Column:
+        mine = F.filter(all_spans, lambda p: (w["s"] <= p["s"]) & (p["e"] <= w["e"]))
+        return F.transform(mine, lambda p: F.struct((p["s"] - w["s"]).alias("s"), (p["e"] - w["s"]).alias("e")))
+
+    return F.transform(windows, lambda w: F.struct(
+        F.substring(text, w["s"] + 1, w["e"] - w["s"]).alias("text"), inside(w, spans).alias("target"), inside(w, others).alias("others")))
+
+
 def lexicon_scorer(dims: TextDims):
     """Built-in scorer. Any callable Column(text) -> struct<neg, neu, pos> can replace it."""
     return lambda window: tx.lexicon_probs(window, dims)
@@ -223,8 +243,12 @@ def lexicon_scorer(dims: TextDims):
 
 def score_mentions(docs: DataFrame, entities: Iterable, dims: TextDims, publishers: PublisherDims = PUBLISHERS,
                    scorer=None, split_clauses: bool = True) -> DataFrame:
-    """Labelled and linked documents -> (document, entity) rows with windows, sentiment and source checks."""
+    """Labelled and linked documents -> (document, entity) rows with windows, sentiment and source checks.
+
+    A scorer with ``targeted`` set (``train.TargetScorer``) reads whole sentences with the entities masked.
+    """
     scorer = scorer or lexicon_scorer(dims)
+    targeted = getattr(scorer, "targeted", False)
     domains = {e.entity_id: list(e.domains) for e in entities if e.domains}
     publisher, kind, author = F.col("publisher"), F.col("source_type"), F.col("author")
     # what depends on the document alone is computed before the rows multiply
@@ -240,14 +264,13 @@ def score_mentions(docs: DataFrame, entities: Iterable, dims: TextDims, publishe
     one = docs.select("*", F.col("mentions").alias("_all"), F.explode_outer("mentions").alias("m")).filter(
         F.col("m").isNotNull())
     others = F.flatten(F.transform(F.filter("_all", lambda x: x["ent"] != F.col("m.ent")), lambda x: x["spans"]))
-    one = one.withColumn("windows", windows_of(F.col("text"), F.col("m.spans"), others, split=split_clauses))
-
-    def mean(ps: Column) -> Column:
-        def part(name: str) -> Column:
-            return (F.aggregate(ps, F.lit(0.0), lambda a, p: a + p[name]) / F.size(ps)).alias(name)
-        return F.struct(part("neg"), part("neu"), part("pos"))
-
-    probs = tx.let(F.transform("windows", lambda w: scorer(F.substring("text", w["s"] + 1, w["e"] - w["s"]))), mean)
+    one = one.withColumn("windows", windows_of(F.col("text"), F.col("m.spans"), others, split=split_clauses and not targeted))
+    if targeted:
+        items = window_items(F.col("text"), F.col("windows"), F.col("m.spans"), others)
+        one = scorer.scored(one, items, "_ps")
+        probs = mean_probs(F.col("_ps"))
+    else:
+        probs = mean_probs(F.transform("windows", lambda w: scorer(F.substring("text", w["s"] + 1, w["e"] - w["s"]))))
     first = F.get(F.col("windows"), F.lit(0))
     span = F.substring(F.trim(F.substring(F.col("text"), first["s"] + 1, first["e"] - first["s"])), 1, SPAN_LIMIT)
     own_domains = F.coalesce(F.try_element_at(F.create_map(*[x for k, v in sorted(domains.items()) for x in (

@@ -641,14 +641,85 @@ def k08(spark, sf):
     return p.groupBy("host").agg(F.min_by("page_id", F.struct(F.length("url"), "page_id")).alias("page_id"))
 
 
+# pairs of the held-out fifth of the headlines, as the split by content hash deals them
+PAIR_SQL = f"""w AS (SELECT doc_id, n, title, list_filter(regexp_extract_all(lower(title), '[a-z]+'), lambda w: length(w) > 3) AS ws FROM feed WHERE title <> ''),
+ q AS (SELECT *, ws[1] AS a, list_filter(ws, lambda x, i: list_position(ws, x) = i) AS firsts FROM w WHERE len(list_distinct(ws)) >= 2),
+ pairs AS (SELECT doc_id, title, a AS entity, n % 3 AS l, n % 3 <> (n // 3) % 3 AS conflict FROM q UNION ALL SELECT doc_id, title, firsts[len(firsts)], (n // 3) % 3, n % 3 <> (n // 3) % 3 FROM q),
+ held AS (SELECT doc_id, entity, ['negative', 'neutral', 'positive'][CAST(l + 1 AS INTEGER)] AS label, conflict FROM pairs
+  WHERE len(list_filter(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]+'), lambda t: t = entity)) > 0 AND CAST('0x' || substr(md5(doc_id), 1, 8) AS BIGINT) % 5 = 0)"""
+SLICE_SQL = "sl AS (SELECT *, unnest(['all', 'multi'] || CASE WHEN conflict THEN ['conflicting'] ELSE [] END) AS slice FROM held)"
+
+
+def target_pairs(spark, sf):
+    """Labelled (headline, entity) pairs with their fold: 0 is held out."""
+    pairs = ref.labelled_pairs(labelled_rows(spark, sf)).select(
+        F.concat_ws("|", "doc_id", "entity").alias("row_id"), F.col("doc_id").alias("group"), F.col("title").alias("text"), "target", "others", "label", "n_entities", "conflict")
+    return staged(spark, sf, "target_pairs", lambda: pairs.withColumn("fold", train.fold_of(F.col("group"))))
+
+
+def target_rows(spark, sf):
+    return staged(spark, sf, "target_rows", lambda: train.with_features(target_pairs(spark, sf), DIMS))
+
+
+def target_model(spark, sf):
+    """The masked model of the training folds, as the mention stage uses it."""
+    return staged(spark, sf, "target_model", lambda: train.fit(target_rows(spark, sf).filter("fold <> 0"), 8.0))
+
+
 @query("m18_target_training")
 def m18(spark, sf):
     """Train the masked-target classifier on the labelled pairs (grouped split) and score the held-out part."""
-    pairs = ref.labelled_pairs(labelled_rows(spark, sf)).select(
-        F.concat_ws("|", "doc_id", "entity").alias("row_id"), F.col("doc_id").alias("group"), F.col("title").alias("text"), "target", "others", "label", "n_entities", "conflict")
-    rows = staged(spark, sf, "target_rows", lambda: train.with_features(pairs, DIMS).withColumn("fold", train.fold_of(F.col("group"))))
-    model = train.fit(rows.filter("fold <> 0"), 8.0)
-    got = train.predict(rows.filter("fold = 0"), model)
-    every = got.withColumn("slice", F.explode(F.filter(F.array(F.lit("all"), F.when(F.col("n_entities") > 1, "multi"), F.when(F.col("conflict"), "conflicting")), lambda s: s.isNotNull())))
-    s = evaluate.classification_scores(every, ["slice"], "label", "predicted")
+    got = train.predict(target_rows(spark, sf).filter("fold = 0"), target_model(spark, sf))
+    s = evaluate.classification_scores(train.slices(got), ["slice"], "label", "predicted")
     return s.select("slice", r6("accuracy").alias("accuracy"), r6("macro_f1").alias("macro_f1"), big("n").alias("n"))
+
+
+@query("m18_choose_c")
+def m18c(spark, sf):
+    """Grouped five-fold cross-validation on the training headlines: macro-F1 per C, and the C taken."""
+    scores = staged(spark, sf, "c_scores", lambda: train.choose_c(target_rows(spark, sf).filter("fold <> 0")))
+    best = train.best_c(scores)
+    return spark.createDataFrame([(c, round(f, 6), int(c == best)) for c, f in scores], "c double, macro_f1 double, chosen bigint")
+
+
+@query("m18_four_systems")
+def m18f(spark, sf):
+    """Lexicon over the text and over windows, trained without and with masking (C by cross-validation), by slice."""
+    pairs = target_pairs(spark, sf)
+    scores = staged(spark, sf, "c_scores", lambda: train.choose_c(target_rows(spark, sf).filter("fold <> 0")))
+    r = train.report(pairs.filter("fold <> 0"), pairs.filter("fold = 0"), DIMS, train.best_c(scores))
+    return r.select("system", "slice", r6("accuracy").alias("accuracy"), r6("macro_f1").alias("macro_f1"), big("n").alias("n"))
+
+
+@query("m18_slices", f"WITH {FEED}, {PAIR_SQL}, {SLICE_SQL} SELECT slice, label, count(*) AS n FROM sl GROUP BY slice, label")
+def m18s(spark, sf):
+    """Label mix of the held-out pairs by slice."""
+    return train.slices(target_pairs(spark, sf).filter("fold = 0")).groupBy("slice", "label").agg(F.count("*").alias("n"))
+
+
+@query("m18_lexicon_whole", f"""WITH {FEED}, {LEX_SQL}, {PAIR_SQL}, {SLICE_SQL},
+ g AS (SELECT slice, label, CASE WHEN abs(p_pos - p_neg) < 0.1 THEN 'neutral' WHEN p_pos > p_neg THEN 'positive' ELSE 'negative' END AS said FROM sl JOIN lex USING (doc_id)),
+ k AS (SELECT DISTINCT slice, label AS c FROM g UNION SELECT DISTINCT slice, said FROM g),
+ f AS (SELECT k.slice, c, 2.0 * count(*) FILTER (WHERE label = c AND said = c) / (2 * count(*) FILTER (WHERE label = c AND said = c) + count(*) FILTER (WHERE label <> c AND said = c) + count(*) FILTER (WHERE label = c AND said <> c)) AS f1 FROM k JOIN g ON g.slice = k.slice GROUP BY k.slice, c)
+SELECT slice, round(avg(CAST(label = said AS INTEGER)), 6) AS accuracy, any_value(m) AS macro_f1, count(*) AS n FROM g JOIN (SELECT slice, round(avg(f1), 6) AS m FROM f GROUP BY slice) USING (slice) GROUP BY slice""")
+def m18l(spark, sf):
+    """The naive system of the report by slice: the lexicon over the whole headline."""
+    rows = train.slices(train.lexicon_systems(target_pairs(spark, sf).filter("fold = 0"), DIMS))
+    s = evaluate.classification_scores(rows, ["slice"], "label", "whole")
+    return s.select("slice", r6("accuracy").alias("accuracy"), r6("macro_f1").alias("macro_f1"), "n")
+
+
+def trained_mentions(spark, sf):
+    """The mention stage with the trained model as its scorer."""
+    def build():
+        scorer = train.TargetScorer(train.weights(target_model(spark, sf)), DIMS)
+        return mentions.document_mentions(feed(spark, sf), corpus.ENTITIES, DIMS, scorer=scorer)
+    return staged(spark, sf, "trained_mentions", build)
+
+
+@query("m19_trained_mentions")
+def m19(spark, sf):
+    """(document, entity) sentiment by the fitted target-aware model inside the mention stage."""
+    m = trained_mentions(spark, sf)
+    return m.select("doc_id", "entity_id", r6("probs.neg").alias("neg"), r6("probs.neu").alias("neu"), r6("probs.pos").alias("pos"), r6("sentiment").alias("sentiment"), r6("sent_conf").alias("sent_conf"),
+                    big(F.size("windows")).alias("windows"))
