@@ -21,52 +21,56 @@ def px(spark, sf) -> DataFrame:
     return staged(spark, sf, "market", lambda: corpus.market(spark, sf))
 
 
-@query("s08_market_long", f"WITH {M} SELECT date::VARCHAR AS date, series, value FROM px WHERE starts_with(series, 'RATE_') OR series = 'VIX'")
+@query("s08_market_long", f"WITH {M} SELECT date::VARCHAR AS date, series, value FROM px")
 def s08(spark, sf):
     """Wide text files (one with unreadable cells) -> numeric long series; the outer join is a union."""
-    m = px(spark, sf).filter(F.col("series").startswith("RATE_") | (F.col("series") == "VIX"))
-    rates = [f"RATE_{i}" for i in range(1, 8)]
-    a = m.groupBy("date").pivot("series", rates).agg(F.first("value")).select(F.col("date").cast("string").alias("date"), *[F.coalesce(F.col(r).cast("string"), F.lit("n/a")).alias(r) for r in rates])
-    b = m.filter("series = 'VIX'").select(F.col("date").cast("string").alias("date"), F.col("value").cast("string").alias("VIX"))
-    return ref.load_market([a, b]).select(F.col("date").cast("string").alias("date"), "series", "value")
+    m = px(spark, sf)
+    names = sorted(r["series"] for r in m.select("series").distinct().collect())   # the columns of wide files
+    halves = [[n for n in names if n != "VIX"], ["VIX"]]
+
+    def wide(cols: list[str], empty: str | None) -> DataFrame:
+        w = m.filter(F.col("series").isin(cols)).groupBy("date").pivot("series", cols).agg(F.first("value"))
+        cell = lambda c: F.col(f"`{c}`").cast("string")
+        return w.select(F.col("date").cast("string").alias("date"), *[(F.coalesce(cell(c), F.lit(empty)) if empty else cell(c)).alias(c) for c in cols])
+
+    return ref.load_market([wide(halves[0], "n/a"), wide(halves[1], None)]).select(F.col("date").cast("string").alias("date"), "series", "value")
 
 
 DAYS = "days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT date FROM px))"
 
 
-@query("w12_fill_limited", f"""WITH {M}, {DAYS}, b AS (SELECT pos, series, value, lead(pos) OVER (PARTITION BY series ORDER BY pos) AS nx FROM px JOIN days USING (date) WHERE starts_with(series, 'Brand#')),
+@query("w12_fill_limited", f"""WITH {M}, {DAYS}, b AS (SELECT pos, series, value, lead(pos) OVER (PARTITION BY series ORDER BY pos) AS nx FROM px JOIN days USING (date)),
  f AS (SELECT series, value, unnest(range(pos, least(coalesce(nx - 1, (SELECT max(pos) FROM days)), pos + 5) + 1)) AS pos FROM b) SELECT series, count(*) AS n, round(sum(value), 2) AS total FROM f JOIN days USING (pos) GROUP BY series""")
 def w12(spark, sf):
     """Forward fill of at most five calendar rows."""
     p = px(spark, sf)
     days = market.calendar(p)
-    b = p.filter(F.col("series").startswith("Brand#"))
-    return market.fill_forward(b, days, 5).groupBy("series").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return market.fill_forward(p, days, 5).groupBy("series").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
-@query("w17_fill_unlimited", f"""WITH {M}, {DAYS}, b AS (SELECT pos, series, value, lead(pos) OVER (PARTITION BY series ORDER BY pos) AS nx FROM px JOIN days USING (date) WHERE starts_with(series, 'Brand#')),
+@query("w17_fill_unlimited", f"""WITH {M}, {DAYS}, b AS (SELECT pos, series, value, lead(pos) OVER (PARTITION BY series ORDER BY pos) AS nx FROM px JOIN days USING (date)),
  f AS (SELECT series, value, unnest(range(pos, coalesce(nx, (SELECT max(pos) FROM days) + 1))) AS pos FROM b) SELECT series, count(*) AS n, round(sum(value), 2) AS total FROM f GROUP BY series""")
 def w17(spark, sf):
     p = px(spark, sf)
-    return market.fill_forward(p.filter(F.col("series").startswith("Brand#")), market.calendar(p), None).groupBy("series").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return market.fill_forward(p, market.calendar(p), None).groupBy("series").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
-@query("w10_log_returns", f"WITH {M} SELECT series, date::VARCHAR AS date, round(ln(value) - lag(ln(value)) OVER (PARTITION BY series ORDER BY date), 6) AS r FROM px WHERE starts_with(series, 'TYPE_')")
+@query("w10_log_returns", f"WITH {M} SELECT series, date::VARCHAR AS date, round(ln(value) - lag(ln(value)) OVER (PARTITION BY series ORDER BY date), 6) AS r FROM px WHERE value > 0")
 def w10(spark, sf):
-    return market.log_returns(px(spark, sf).filter(F.col("series").startswith("TYPE_"))).select("series", F.col("date").cast("string").alias("date"), r6("r").alias("r"))
+    return market.log_returns(px(spark, sf)).select("series", F.col("date").cast("string").alias("date"), r6("r").alias("r"))
 
 
 @query("w13_ewma_volatility", f"""WITH {M}, c AS (SELECT * FROM px WHERE date < DATE '2001-06-01'), d AS (SELECT date, row_number() OVER (ORDER BY date DESC) AS back FROM (SELECT DISTINCT date FROM c)),
- r AS (SELECT series, date, ln(value) - lag(ln(value)) OVER (PARTITION BY series ORDER BY date) AS r FROM c JOIN d USING (date) WHERE back <= 260 AND value > 0 AND starts_with(series, 'Brand#')),
+ r AS (SELECT series, date, ln(value) - lag(ln(value)) OVER (PARTITION BY series ORDER BY date) AS r FROM c JOIN d USING (date) WHERE back <= 260 AND value > 0),
  k AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date DESC) - 1 AS k FROM r WHERE r IS NOT NULL)
 SELECT series, count(*) AS n, round(sqrt(sum(pow(0.97::DOUBLE, k) * r * r) / sum(pow(0.97::DOUBLE, k)) * 252), 6) AS vol FROM k GROUP BY series HAVING count(*) >= 20""")
 def w13(spark, sf):
-    return market.ewma_volatility(px(spark, sf), "2001-06-01").filter(F.col("series").startswith("Brand#")).select("series", "n", r6("vol").alias("vol"))
+    return market.ewma_volatility(px(spark, sf), "2001-06-01").select("series", "n", r6("vol").alias("vol"))
 
 
-@query("w14_trailing_volatility", f"WITH {M}, r AS (SELECT series, date, ln(value) - lag(ln(value)) OVER (PARTITION BY series ORDER BY date) AS r FROM px WHERE starts_with(series, 'TYPE_')) SELECT series, date::VARCHAR AS date, round(stddev_pop(r) OVER (PARTITION BY series ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 6) AS vol20 FROM r")
+@query("w14_trailing_volatility", f"WITH {M}, r AS (SELECT series, date, ln(value) - lag(ln(value)) OVER (PARTITION BY series ORDER BY date) AS r FROM px WHERE value > 0) SELECT series, date::VARCHAR AS date, round(stddev_pop(r) OVER (PARTITION BY series ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 6) AS vol20 FROM r")
 def w14(spark, sf):
-    r = market.log_returns(px(spark, sf).filter(F.col("series").startswith("TYPE_")))
+    r = market.log_returns(px(spark, sf))
     return market.trailing_volatility(r).select("series", F.col("date").cast("string").alias("date"), r6("vol20").alias("vol20"))
 
 

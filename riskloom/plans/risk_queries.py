@@ -225,10 +225,10 @@ def f37(spark, sf):
     return r.select("req_id", "m", "instrument", "sector", "positions", "pnl")
 
 
-@query("f31_migration", f"WITH {STRESS} SELECT rid AS req_id, facility_id AS pos_id, CASE WHEN df THEN 17 ELSE n2 END::BIGINT AS notch, s1::BIGINT AS stage FROM st WHERE m = 1.0 AND ac = 'Loans'")
+@query("f31_migration", f"WITH {STRESS} SELECT rid AS req_id, m, facility_id AS pos_id, CASE WHEN df THEN 17 ELSE n2 END::BIGINT AS notch, s1::BIGINT AS stage FROM st WHERE ac = 'Loans'")
 def f31(spark, sf):
-    """Stressed rating and stage per loan and request."""
-    return stressed(spark, sf).filter("m = 1.0 AND asset_class = 'Loans'").select("req_id", "pos_id", big("notch1").alias("notch"), big("stage1").alias("stage"))
+    """Stressed rating and stage per loan, request and multiple."""
+    return stressed(spark, sf).filter("asset_class = 'Loans'").select("req_id", "m", "pos_id", big("notch1").alias("notch"), big("stage1").alias("stage"))
 
 
 @query("a16_class_rollup", f"WITH {STRESS} SELECT rid AS req_id, m, ac AS asset_class, round(sum(v0 - ecl0), 0) AS value_before, round(sum(CASE WHEN ac = 'Loans' THEN v0 - ecl1 ELSE v0 + pnl END), 0) AS value_after, round(sum(pnl), 0) AS pnl FROM st GROUP BY ALL")

@@ -346,14 +346,14 @@ def f13(spark, sf):
     return feed(spark, sf).select("doc_id", tx.fingerprint(F.col("title"), F.col("body"), FINANCE.fingerprint_stop).alias("fp"))
 
 
-@query("f20_url_headlines", f"""WITH {FEED}, u AS (SELECT doc_id, array_to_string(regexp_extract_all(lower(title), '[a-z]+')[1:12], '-') AS slug FROM feed WHERE title <> ''),
+@query("f20_url_headlines", f"""WITH {FEED}, u AS (SELECT doc_id, array_to_string(regexp_extract_all(lower(title), '[a-z]+'), '-') AS slug FROM feed WHERE title <> ''),
  w AS (SELECT doc_id, list_filter(string_split_regex(slug, '[-_+]+'), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(?:[0-9]+|[0-9a-f]{{8,}}|[a-z]?[0-9]{{5,}}[a-z0-9]*|index|amp|story|news|article|articleshow)$')) AS ws FROM u)
-SELECT doc_id, CASE WHEN len(ws) >= 3 THEN array_to_string(list_transform(ws, lambda x, i: CASE WHEN list_contains({words(corpus.ACRONYMS)}, upper(x)) THEN upper(x)
+SELECT doc_id, CASE WHEN len(ws) >= 3 THEN array_to_string(list_transform(ws[1:24], lambda x, i: CASE WHEN list_contains({words(corpus.ACRONYMS)}, upper(x)) THEN upper(x)
   WHEN i > 1 AND list_contains({words(tx.SMALL_WORDS.split())}, x) THEN x ELSE upper(substr(x, 1, 1)) || substr(x, 2) END), ' ') END AS headline FROM w""")
 def f20(spark, sf):
     """Headlines rebuilt from address slugs (acronyms keep their capitals)."""
     f = feed(spark, sf).filter(F.col("title") != "")
-    slug = F.concat_ws("-", F.slice(F.regexp_extract_all(F.lower("title"), F.lit("[a-z]+"), F.lit(0)), 1, 12))
+    slug = F.concat_ws("-", F.regexp_extract_all(F.lower("title"), F.lit("[a-z]+"), F.lit(0)))
     url = F.concat(F.lit("https://www.example.com/2024/01/"), slug, F.lit("-12345678.html?x=1"))
     return f.select("doc_id", tx.headline_from_url(url, frozenset(corpus.ACRONYMS)).alias("headline"))
 
@@ -480,11 +480,11 @@ def j01(spark, sf):
     return o.join(c, "k").select("o_orderkey", F.col("o_custkey").alias("cik"))
 
 
-@query("j02_cashtag_links", f"""WITH {FEED}, t AS (SELECT doc_id, source_type, upper(unnest(regexp_extract_all(text || ' $than and $THON', '\\$([A-Za-z]{{1,5}})\\b', 1))) AS tag FROM feed_text WHERE n % 3 = 0)
+@query("j02_cashtag_links", f"""WITH {FEED}, t AS (SELECT doc_id, source_type, upper(unnest(regexp_extract_all(text || ' $than and $THON', '\\$([A-Za-z]{{1,5}})\\b', 1))) AS tag FROM feed_text)
 SELECT doc_id, ent, count(*) AS hits FROM t JOIN (VALUES ('THAN', 'THANEA'), ('THON', 'THON'), ('ANEA', 'ANEA'), ('EREN', 'EREN')) m(tag, ent) USING (tag) GROUP BY doc_id, ent""")
 def j02(spark, sf):
-    """Cashtags of one in three documents (a fixed tail is appended) x entity tags."""
-    f = feed_text(spark, sf).filter(F.col("n") % 3 == 0)
+    """Cashtags of all documents (a fixed tail is appended) x entity tags."""
+    f = feed_text(spark, sf)
     tags = F.regexp_extract_all(F.concat("text", F.lit(" $than and $THON")), F.lit(r"\$([A-Za-z]{1,5})\b"), F.lit(1))
     dim = spark.createDataFrame([(t, e.entity_id) for e in corpus.ENTITIES for t in e.cashtags], "tag string, ent string")
     return f.select("doc_id", F.explode(tags).alias("t")).withColumn("tag", F.upper("t")).join(F.broadcast(dim), "tag").groupBy("doc_id", "ent").agg(F.count("*").alias("hits"))
