@@ -81,36 +81,11 @@ def has_denial(text: Column, pattern: str) -> Column:
     return text.rlike(f"(?iU){pattern}")
 
 
-# ------------------------------------------------------------------ spans of names
-def alias_pattern(aliases: list[str]) -> str:
-    """Every start of an alias, longest alias first; a capital letter makes an alias case-sensitive.
-
-    The lookahead keeps matches zero-width, so overlapping names are all found.
-    """
-    longest = sorted(set(aliases), key=lambda a: (-len(a), a))
-    parts = [re.escape(a) if any(ch.isupper() for ch in a) else f"(?iu:{re.escape(a)})" for a in longest]
-    return r"(?U)(?<![\w$])(?=(" + "|".join(parts) + r")(?!\w))"
-
-
+# ------------------------------------------------------------------ spans
 def _running(lengths: Column) -> Column:
     return F.transform(lengths, lambda _, i: F.aggregate(F.slice(lengths, 1, i + 1), F.lit(0), lambda a, x: a + x))
 
 
-def starts_and_names(text: Column, pattern: str) -> Column:
-    """array<struct<s, e, name>> of the matches of a zero-width ``pattern`` whose group 1 is the name."""
-    padded = F.concat(F.lit(" "), text)
-    lengths = F.transform(F.split(padded, pattern, -1), lambda p: F.length(p))
-    names = F.regexp_extract_all(padded, F.lit(pattern), F.lit(1))
-    return let(
-        F.struct(lengths.alias("l"), names.alias("n")),
-        lambda v: F.transform(
-            F.arrays_zip(let(F.slice(v["l"], 1, F.size(v["n"])), _running).alias("c"), v["n"].alias("n")),
-            lambda z: F.struct(
-                (z["c"] - 1).alias("s"), (z["c"] - 1 + F.length(z["n"])).alias("e"), z["n"].alias("name")),
-        ),
-    )
-
-
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<s, e, hit>> of the matches of an ordinary pattern."""
     padded = F.concat(F.lit(" "), text)

@@ -1,7 +1,7 @@
 """Documents -> one row per (document, entity): links, windows, sentiment, impact.
 
-Everything up to the mention row is a narrow column expression over the document, so the stage
-scales with the scan: no shuffle, no Python worker, and the text leaves with the last projection.
+Everything up to the mention row is narrow, so the stage scales with the scan: names are found by one Arrow batch function
+(``names``), the rest are column expressions; there is no shuffle, and the text leaves with the last projection.
 """
 
 from __future__ import annotations
@@ -15,13 +15,10 @@ from riskloom.dims.publishers import PUBLISHERS, PublisherDims
 from riskloom.dims.text_rules import TextDims
 from riskloom.functions import risk, text as tx, voices
 from riskloom.operators.labels import with_label
+from riskloom.operators.names import Names, hit_column
 from riskloom.session import spread
 
-CASHTAG = r"(?U)(?<![\w$])\$([A-Za-z]{1,5})\b"
-EXCHANGE = r"\((?:NASDAQ|Nasdaq|NYSE|NYSE American|NSE|BSE)\s*:\s*([A-Z][A-Z.&]{0,11})\)"
 STRONG = ["cashtag", "exchange", "filer"]
-HIT = "struct<ent:string,kind:string,s:int,e:int>"
-MAX_ALIASES = 20_000
 MACRO_FALLBACK = "MACRO:MARKET"
 SPAN_LIMIT = 280
 
@@ -35,73 +32,17 @@ def with_text(docs: DataFrame) -> DataFrame:
     )
 
 
-def _struct_map(pairs: dict[str, list[tuple[str, str]]]) -> Column:
-    if not pairs:
-        return F.from_json(F.lit("{}"), "map<string,array<struct<ent:string,kind:string>>>")
-    return F.create_map(*[x for key, targets in sorted(pairs.items()) for x in (
-        F.lit(key), F.array(*[F.struct(F.lit(e).alias("ent"), F.lit(k).alias("kind")) for e, k in targets]))])
-
-
 class Linker:
-    """Alias, cashtag, exchange-ticker and filer links of a universe.
-
-    The universe is an index-sized dimension; its size is checked before it becomes part of the
-    pattern, and a larger one is refused rather than truncated.
-    """
+    """Alias, cashtag, exchange-ticker and filer links of a universe of any size (``names``)."""
 
     def __init__(self, entities: Iterable, dims: TextDims, min_score: float = 0.6) -> None:
-        self.entities = list(entities)
         self.dims = dims
         self.min_score = min_score
-        aliases: dict[str, list[tuple[str, str]]] = {}
-        for e in self.entities:
-            for kind, names in (("alias", e.aliases), ("ambiguous", e.ambiguous_aliases)):
-                for a in names:
-                    key = a if any(ch.isupper() for ch in a) else a.lower()
-                    aliases.setdefault(key, []).append((e.entity_id, kind))
-        if len(aliases) > MAX_ALIASES:
-            raise ValueError(f"{len(aliases)} aliases exceed the pattern limit of {MAX_ALIASES}")
-        self.aliases = aliases
-        self.tags = {t.upper(): [(e.entity_id, "tag")] for e in self.entities for t in e.cashtags}
-        self.ciks = {e.cik.lstrip("0"): [(e.entity_id, "filer")] for e in self.entities if e.cik}
-
-    def hits(self, text: Column, title: Column, source_type: Column, cik: Column) -> Column:
-        """array<HIT> before nesting rules."""
-        table = _struct_map(self.aliases)
-        names = tx.starts_and_names(text, tx.alias_pattern(list(self.aliases)))
-
-        def targets(n: Column) -> Column:
-            both = F.concat(
-                F.coalesce(F.try_element_at(table, n["name"]), F.array()),
-                F.when(n["name"] != F.lower(n["name"]), F.coalesce(F.try_element_at(table, F.lower(n["name"])), F.array()))
-                .otherwise(F.array()))
-            return F.transform(both, lambda t: F.struct(t["ent"].alias("ent"), t["kind"].alias("kind"), n["s"].alias("s"), n["e"].alias("e")))
-
-        def tagged(pattern: str, kind: str) -> Column:
-            return F.flatten(F.transform(tx.matches(text, pattern, 1), lambda m: F.transform(
-                F.coalesce(F.try_element_at(_struct_map(self.tags), F.upper(m["hit"])), F.array()),
-                lambda t: F.struct(t["ent"].alias("ent"), F.lit(kind).alias("kind"), m["s"].alias("s"), m["e"].alias("e")))))
-
-        found = F.flatten(F.transform(names, targets)).cast(f"array<{HIT}>")
-        if self.tags:
-            found = F.concat(
-                F.when(text.contains("$"), tagged(CASHTAG, "cashtag")).otherwise(F.array()).cast(f"array<{HIT}>"),
-                F.when(text.contains("("), tagged(EXCHANGE, "exchange")).otherwise(F.array()).cast(f"array<{HIT}>"), found)
-        if self.ciks:
-            filer = F.transform(
-                F.coalesce(F.try_element_at(_struct_map(self.ciks), F.ltrim(cik, F.lit("0"))), F.array()),
-                lambda t: F.struct(t["ent"].alias("ent"), F.lit("filer").alias("kind"), F.lit(0).alias("s"), F.length(title).alias("e")))
-            found = F.concat(
-                F.when((source_type == "filing") & cik.isNotNull(), filer).otherwise(F.array()).cast(f"array<{HIT}>"), found)
-        return found
+        self.names = Names(entities)
 
-    @staticmethod
-    def longest_names(hits: Column) -> Column:
-        """Across entities the longest name wins: a name inside a longer one is dropped."""
-        soft = ["alias", "ambiguous"]
-        return tx.let(hits, lambda hs: F.filter(hs, lambda h: ~h["kind"].isin(soft) | ~F.exists(
-            hs, lambda o: o["kind"].isin(soft) & (o["ent"] != h["ent"]) & (o["s"] <= h["s"]) & (h["e"] <= o["e"])
-            & (o["e"] - o["s"] > h["e"] - h["s"]))))
+    def hits(self, text: Column, title: Column, source_type: Column, cik: Column, nested: bool = True) -> Column:
+        """array<HIT>; without ``nested`` the longest name wins across entities: one inside a longer one is dropped."""
+        return hit_column(self.names, text, title, source_type, cik, nested)
 
     @staticmethod
     def _one_per_place(hits: Column) -> Column:
@@ -170,8 +111,7 @@ class Linker:
 
     def link(self, docs: DataFrame) -> DataFrame:
         """Add ``mentions`` to documents with ``text``."""
-        found = docs.withColumn("_hits", self.longest_names(
-            self.hits(F.col("text"), F.col("title"), F.col("source_type"), F.col("cik"))))
+        found = docs.withColumn("_hits", self.hits(F.col("text"), F.col("title"), F.col("source_type"), F.col("cik"), nested=False))
         return found.withColumn("mentions", self.mentions(
             F.col("text"), F.col("title"), F.col("source_type"), F.col("_hits"))).drop("_hits")
 

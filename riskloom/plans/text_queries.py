@@ -8,7 +8,7 @@ from riskloom import corpus
 from riskloom.dims.publishers import AUTHORITATIVE, BRANDS, CREDIBILITY, OWNERS, PUBLISHERS
 from riskloom.dims.text_rules import FILING_ITEMS, FINANCE, FINGERPRINT_STOP_WORDS, PRIORITY, STOP_WORDS
 from riskloom.functions import minhash as mh, risk, text as tx, voices
-from riskloom.operators import evaluate, labels, mentions, train
+from riskloom.operators import evaluate, labels, mentions, names, train
 from riskloom.plans.registry import big, joined, query, r6, secs, staged
 from riskloom.session import cut, spread
 from riskloom.sources import documents as src, tables as ref
@@ -115,8 +115,8 @@ def s05(spark, sf):
 SELECT doc_id FROM p WHERE """ + " OR ".join(
     "regexp_matches(t, '(?i)(^|[^\\p{L}\\p{N}_])" + a.replace(" ", "  ") + "($|[^\\p{L}\\p{N}_])')" for e in corpus.ENTITIES for a in (*e.aliases, *e.ambiguous_aliases)))
 def s05b(spark, sf):
-    """Keyword prefilter: case-blind alternation of all aliases over whole texts."""
-    return feed_text(spark, sf).filter(F.col("text").rlike(src.prefilter_pattern(corpus.ENTITIES))).select("doc_id")
+    """Keyword prefilter: any alias in any case, or a company's tag, over whole texts."""
+    return feed_text(spark, sf).filter(names.holds_name(corpus.ENTITIES)(F.col("text"))).select("doc_id")
 
 
 @query("s06_event_export", """WITH e AS (SELECT 'https://' || event_type || '.example.com/' || CAST(user_id AS VARCHAR) AS url, strftime(ts, '%Y%m%d%H%M%S') AS added, CAST(event_id AS VARCHAR) AS tone FROM events WHERE event_id % 9 <> 8)
@@ -427,12 +427,17 @@ h1 AS (SELECT * FROM h0 h WHERE NOT EXISTS (SELECT 1 FROM h0 o WHERE o.doc_id =
 h2 AS (SELECT * FROM h1 h WHERE NOT EXISTS (SELECT 1 FROM h1 o WHERE o.doc_id = h.doc_id AND o.ent = h.ent AND ((o.s < h.s AND h.s < o.e) OR (o.s = h.s AND o.e > h.e))))"""
 
 
+def raw_hits(d, lk, nested=True):
+    """``hits`` of the texts, filings aside."""
+    return d.withColumn("hits", lk.hits(F.col("text"), F.col("title"), F.lit("news"), F.lit(None).cast("string"), nested))
+
+
 @query("j03_alias_hits", f"WITH {FEED}, {HITS_SQL} SELECT doc_id, ent, kind, s, e FROM h0 h WHERE NOT EXISTS (SELECT 1 FROM h0 o WHERE o.doc_id = h.doc_id AND o.s = h.s AND o.e > h.e)")
 def j03(spark, sf):
     """Alias matches with character spans (the longest alias at each start)."""
     d = spread(feed_text(spark, sf))
     lk = mentions.Linker(corpus.ENTITIES, DIMS)
-    h = d.select("doc_id", F.explode_outer(lk.hits(F.col("text"), F.col("title"), F.lit("news"), F.lit(None).cast("string"))).alias("h")).filter("h is not null")
+    h = raw_hits(d, lk).select("doc_id", F.explode_outer("hits").alias("h")).filter("h is not null")
     return h.filter(F.col("h.kind").isin("alias", "ambiguous")).select("doc_id", "h.ent", "h.kind", big("h.s").alias("s"), big("h.e").alias("e"))
 
 
@@ -441,8 +446,8 @@ def j04(spark, sf):
     """Names inside longer names of other entities dropped, overlaps within an entity merged."""
     d = spread(feed_text(spark, sf))
     lk = mentions.Linker([e for e in corpus.ENTITIES], DIMS, min_score=0.0)
-    hit = lk.longest_names(lk.hits(F.col("text"), F.col("title"), F.lit("news"), F.lit(None).cast("string")))
-    m = d.withColumn("_h", hit).select("doc_id", F.explode_outer(lk.mentions(F.col("text"), F.col("title"), F.col("source_type"), F.col("_h"))).alias("m")).filter("m is not null")
+    h = raw_hits(d, lk, nested=False)
+    m = h.select("doc_id", F.explode_outer(lk.mentions(F.col("text"), F.col("title"), F.col("source_type"), F.col("hits"))).alias("m")).filter("m is not null")
     return m.select("doc_id", "m.ent", big(F.size("m.spans")).alias("hits"), big(F.get("m.spans", F.lit(0))["s"]).alias("first"))
 
 
@@ -483,11 +488,27 @@ def j01(spark, sf):
 @query("j02_cashtag_links", f"""WITH {FEED}, t AS (SELECT doc_id, source_type, upper(unnest(regexp_extract_all(text || ' $than and $THON', '\\$([A-Za-z]{{1,5}})\\b', 1))) AS tag FROM feed_text)
 SELECT doc_id, ent, count(*) AS hits FROM t JOIN (VALUES ('THAN', 'THANEA'), ('THON', 'THON'), ('ANEA', 'ANEA'), ('EREN', 'EREN')) m(tag, ent) USING (tag) GROUP BY doc_id, ent""")
 def j02(spark, sf):
-    """Cashtags of all documents (a fixed tail is appended) x entity tags."""
-    f = feed_text(spark, sf)
-    tags = F.regexp_extract_all(F.concat("text", F.lit(" $than and $THON")), F.lit(r"\$([A-Za-z]{1,5})\b"), F.lit(1))
-    dim = spark.createDataFrame([(t, e.entity_id) for e in corpus.ENTITIES for t in e.cashtags], "tag string, ent string")
-    return f.select("doc_id", F.explode(tags).alias("t")).withColumn("tag", F.upper("t")).join(F.broadcast(dim), "tag").groupBy("doc_id", "ent").agg(F.count("*").alias("hits"))
+    """Cashtags of all documents (a fixed tail is appended) through the linker."""
+    f = feed_text(spark, sf).select("doc_id", F.concat("text", F.lit(" $than and $THON")).alias("text"), "title")
+    h = raw_hits(f, mentions.Linker(corpus.ENTITIES, DIMS)).select("doc_id", F.explode("hits").alias("h"))
+    return h.filter("h.kind = 'cashtag'").groupBy("doc_id", "h.ent").agg(F.count("*").alias("hits"))
+
+
+@query("j01_customer_filings", """WITH d AS (SELECT o_orderkey, o_custkey, 'Report of ' || c_name || ' and ' || lower(s_name) || 'x' AS text FROM orders JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = o_orderkey % (SELECT count(*) FROM supplier))
+SELECT o_orderkey, c_name AS ent, 'filer' AS kind, 0::BIGINT AS s FROM d JOIN customer ON c_custkey = o_custkey UNION ALL SELECT o_orderkey, c_name, 'alias', 10 FROM d JOIN customer ON c_custkey = o_custkey""")
+def j01c(spark, sf):
+    """Filings through the linker, with every customer and supplier as a filer of the universe: by number and by name."""
+    t = lambda name: corpus.table(spark, sf, name)
+    # the universe is a dimension table; the linker holds any number of names
+    rows = t("customer").select(F.col("c_name").alias("n"), F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("cik")).unionByName(
+        t("supplier").select(F.col("s_name").alias("n"), F.lit(None).cast("string").alias("cik"))).collect()
+    lk = mentions.Linker([corpus.Entity(r["n"], "company", r["n"], (r["n"],), (), r["cik"]) for r in rows], DIMS)
+    n = t("supplier").agg(F.count("*").alias("suppliers"))   # one row
+    o = t("orders").join(F.broadcast(n)).withColumn("k", F.col("o_orderkey") % F.col("suppliers"))
+    d = o.join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).join(t("supplier"), F.col("s_suppkey") == F.col("k"))
+    d = d.select("o_orderkey", F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("cik"), F.concat(F.lit("Report of "), "c_name", F.lit(" and "), F.lower("s_name"), F.lit("x")).alias("text"))
+    h = d.withColumn("hits", lk.hits(F.col("text"), F.lit("Report"), F.lit("filing"), F.col("cik"))).select("o_orderkey", F.explode("hits").alias("h"))
+    return h.select("o_orderkey", "h.ent", "h.kind", big("h.s").alias("s"))
 
 
 # ------------------------------------------------------------------ sentiment
@@ -601,7 +622,7 @@ def a27(spark, sf):
     lk = mentions.Linker(corpus.ENTITIES, DIMS)
     company = ~F.col("entity_id").startswith("MACRO")
     pred = lk.link(d).select("doc_id", F.explode_outer("mentions.ent").alias("entity_id")).filter("entity_id is not null").filter(company)
-    gold = d.select("doc_id", F.explode_outer(lk.hits(F.col("text"), F.col("title"), F.lit("news"), F.lit(None).cast("string"))).alias("h")).filter(
+    gold = raw_hits(d, lk).select("doc_id", F.explode_outer("hits").alias("h")).filter(
         F.col("h.kind") == "alias").select("doc_id", F.col("h.ent").alias("entity_id")).filter(company)
     s = evaluate.pair_scores(gold, pred, ["doc_id", "entity_id"])
     return s.select("tp", "fp", "fn", r6("precision").alias("precision"), r6("recall").alias("recall"))
@@ -620,7 +641,7 @@ def u02(spark, sf):
     d = spread(feed_text(spark, sf))
     lk = mentions.Linker(corpus.ENTITIES, DIMS)
     pred = lk.link(d).select("doc_id", F.explode_outer("mentions.ent").alias("ent")).filter("ent is not null")
-    raw = d.select("doc_id", F.explode_outer(lk.hits(F.col("text"), F.col("title"), F.lit("news"), F.lit(None).cast("string"))).alias("h")).filter("h is not null").select("doc_id", "h.ent")
+    raw = raw_hits(d, lk).select("doc_id", F.explode_outer("hits").alias("h")).filter("h is not null").select("doc_id", "h.ent")
     both = raw.intersect(pred).agg(F.count("*").alias("both_sets"))
     gone = raw.distinct().exceptAll(pred.distinct()).agg(F.count("*").alias("dropped"))
     return both.join(F.broadcast(gone))

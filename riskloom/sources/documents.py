@@ -6,6 +6,8 @@ the same expression serves ``read`` and ``readStream``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,17 +117,7 @@ POST = ("struct<did:string,time_us:bigint,kind:string,commit:struct<operation:st
         "record:struct<createdAt:string,langs:array<string>,text:string>>>")
 
 
-def prefilter_pattern(entities) -> str:
-    """Case-insensitive alternation of aliases and cashtags."""
-    import re
-
-    terms = sorted({a.lower() for e in entities for a in (*e.aliases, *e.ambiguous_aliases)}, key=lambda a: (-len(a), a))
-    tags = sorted({t for e in entities if e.entity_type == "company" for t in e.cashtags})
-    body = rf"(?iU)(?<!\w)(?:{'|'.join(re.escape(t) for t in terms)})(?!\w)"
-    return body + (rf"|\$(?:{'|'.join(re.escape(t) for t in tags)})\b" if tags else "")
-
-
-def social_posts(rows: DataFrame, prefilter: str | None, column: str = "value", max_cashtags: int = 5, min_chars: int = 20) -> DataFrame:
+def social_posts(rows: DataFrame, prefilter: Callable[[Column], Column] | None, column: str = "value", max_cashtags: int = 5, min_chars: int = 20) -> DataFrame:
     m = rows.select(F.from_json(column, POST).alias("m")).select("m.*")
     c, r = F.col("commit"), F.col("commit.record")
     text = F.trim(F.regexp_replace(F.coalesce(r["text"], F.lit("")), r"(?U)\s+", " "))
@@ -134,7 +126,7 @@ def social_posts(rows: DataFrame, prefilter: str | None, column: str = "value",
     kept = m.filter((F.col("kind") == "commit") & (c["operation"] == "create") & (c["collection"] == "app.bsky.feed.post") & english).withColumn("text", text)
     kept = kept.filter((F.length("text") >= min_chars) & (F.regexp_count("text", F.lit(r"\$[A-Za-z]{1,5}\b")) <= max_cashtags))
     if prefilter:
-        kept = kept.filter(F.col("text").rlike(prefilter))
+        kept = kept.filter(prefilter(F.col("text")))
     when = F.coalesce(F.try_to_timestamp(F.col("commit.record.createdAt")), F.timestamp_micros("time_us"))
     return kept.select(
         tx.stable_id("d", F.lit("bluesky"), F.col("did"), F.col("commit.rkey")).alias("doc_id"), F.lit("bluesky").alias("source"),
