@@ -6,6 +6,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from riskloom.corpus import ENTITIES
+from riskloom.operators import names
 from riskloom.sources import documents as src, tables as ref
 
 
@@ -30,7 +31,7 @@ def test_social_filters(spark):
     def msg(text, langs=None, op="create"):
         return json.dumps({"did": "d", "time_us": 1704067200000000, "kind": "commit", "commit": {"operation": op, "collection": "app.bsky.feed.post", "rkey": text[:3], "record": {"text": text, "langs": langs}}})
     lines = [msg("thon is a long enough text here"), msg("thon short"), msg("nothing about names in this text"), msg("thon auf deutsch geschrieben", ["de"]), msg("thon $a $b $c $d $e $f spam spam spam"), msg("thon deleted post text here", op="delete")]
-    d = src.social_posts(spark.createDataFrame([(x,) for x in lines], "value string"), src.prefilter_pattern(ENTITIES))
+    d = src.social_posts(spark.createDataFrame([(x,) for x in lines], "value string"), names.holds_name(ENTITIES))
     assert d.count() == 1 and d.first()["published_at"] == datetime(2024, 1, 1)
 
 
