@@ -391,11 +391,14 @@ def w15(spark, sf):
     return study.decile_gap(scored(spark, sf), ["pack"], ["seq"], "p", "a").select("pack", r6("top").alias("top"), r6("bottom").alias("bottom"))
 
 
+def calibration(spark, sf):
+    """The fitted impact model and the scored study rows."""
+    return staged(spark, sf, "calibration", lambda: study.calibrate(studied(spark, sf), corpus.STUDY_SPLITS))
+
+
 @query("m17_impact_calibration")
 def m17(spark, sf):
     """Logistic model on the training years, isotonic map on the next year, metrics per split."""
-    def build():
-        return study.calibrate(studied(spark, sf), corpus.STUDY_SPLITS)
-    model, rows = staged(spark, sf, "calibration", build)
+    _, rows = calibration(spark, sf)
     j = study.auc(rows, ["split"]).join(study.brier(rows, ["split"], 0.05), "split")
     return j.select("split", "n", big("pos").alias("positives"), r6("auc").alias("auc"), r6("brier").alias("brier"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from riskloom import corpus
 from riskloom.functions.scan import Carry, hours, prefix_scan
 from riskloom.operators import evaluate, gate, index, neardup, signals as sg, stories as st
+from riskloom.plans.market_queries import calibration
 from riskloom.plans.registry import big, query, r6, secs, staged
 from riskloom.plans.text_queries import DIMS, FEED, FPSTOPS, HITS_SQL, LABEL_SQL, MENTION_SQL, SIG_SQL, TOKENS_SQL, VOICE_SQL, mention_rows
 from riskloom.dims.text_rules import FINANCE
@@ -128,6 +129,20 @@ def m03(spark, sf):
     return signal_columns(event_rows(spark, sf))
 
 
+def calibrated_rows(spark, sf, model):
+    """Stories and event signals scored by a fitted impact model."""
+    stories = st.build_stories(mention_rows(spark, sf), DIMS, model)
+    return sg.event_signals(stories, st.social_groups(stories.members, DIMS), model)
+
+
+@query("m17_story_impacts")
+def m17s(spark, sf):
+    """Event signals with the impact model that the filing study fitted: impact and the chance of a large move."""
+    model, _ = calibration(spark, sf)
+    e = staged(spark, sf, "calibrated_signals", lambda: calibrated_rows(spark, sf, model))
+    return e.select("signal_id", "cluster_id", "event", big("impact").alias("impact"), F.coalesce("p_large_move", F.lit(-1.0)).alias("p_large_move"), "status")
+
+
 @query("w04_publishers_60m")
 def w04(spark, sf):
     """Rolling distinct publishers of the last hour: how many updates have how many."""
