@@ -83,14 +83,14 @@ class LevelPacker:
         self.n_open = 0
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 1024, spaces: str = "whole", width: int = 4, max_open: int = 8192) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 1024, spaces: str = "whole", width: int = 4, max_open: int = 8192, memo_bytes: int | None = None) -> DataFrame:
     """doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset per piece."""
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc, packer = encoder(tokenizer, spaces, width), LevelPacker(window, max_open)
+        enc, packer = encoder(tokenizer, spaces, width, memo_bytes=memo_bytes), LevelPacker(window, max_open)
         sequence = TaskContext.get().partitionId() << 40
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]

@@ -11,6 +11,8 @@ from riskloom.llm import alignment, chat, language, mixing, neardup, negatives,
 from riskloom.llm.common import documents
 from riskloom.session import new_path, prepare
 
+#: The encoders of op1 and op2 have a worker to themselves; a pipeline's share it with other stages and keep the default.
+MEMO = 128 << 20
 END_OF_TURN = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -23,13 +25,13 @@ def vocabulary(name: str) -> str:
 def op1_ranked_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text in the file format, read back and digested."""
     path = new_path(prepare(spark), "ranked-ids")
-    tokens.write_ranked(documents(spark, sf_dir), path, vocabulary("word_bpe_49k.json"), end_id=2, spaces="dropped", width=2)
+    tokens.write_ranked(documents(spark, sf_dir), path, vocabulary("word_bpe_49k.json"), end_id=2, spaces="dropped", width=2, memo_bytes=MEMO)
     return tokens.read_ranked(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of 1024 tokens."""
-    packed = packing.pack(documents(prepare(spark), sf_dir), vocabulary("byte_bpe_50k.json"), end_id=0, spaces="leading", width=2)
+    packed = packing.pack(documents(prepare(spark), sf_dir), vocabulary("byte_bpe_50k.json"), end_id=0, spaces="leading", width=2, memo_bytes=MEMO)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -70,14 +70,14 @@ def unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc_ids, lengths, unpack_ranks(block[at:end], block[end:], n)
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, spaces: str = "whole", width: int = 4) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, spaces: str = "whole", width: int = 4, memo_bytes: int | None = None) -> DataFrame:
     """doc_id and ids (binary, ``width`` bytes each, the end id last) of every whole text; no shuffle."""
     end = np.array([end_id], f"<u{width}").tobytes()
 
     def run(batches):
         import pyarrow as pa
 
-        enc = encoder(tokenizer, spaces, width)
+        enc = encoder(tokenizer, spaces, width, memo_bytes=memo_bytes)
         for b in released(batches):
             ids = [x + end for x in enc.encode([t or "" for t in b.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
@@ -104,10 +104,10 @@ def count_ids(encoded: DataFrame, width: int) -> DataFrame:
     return encoded.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def write_ranked(docs: DataFrame, path: str, tokenizer: str, end_id: int, spaces: str = "whole", width: int = 4) -> None:
+def write_ranked(docs: DataFrame, path: str, tokenizer: str, end_id: int, spaces: str = "whole", width: int = 4, memo_bytes: int | None = None) -> None:
     """Write ``path``/ranks and ``path``/blocks; ``width`` 2 holds vocabularies of up to 65,536 entries in between."""
     spark = docs.sparkSession
-    encoded = written(encode_documents(docs, tokenizer, end_id, spaces, width), "ids")
+    encoded = written(encode_documents(docs, tokenizer, end_id, spaces, width, memo_bytes), "ids")
     # one row per vocabulary entry at most: the driver orders the table that every task needs
     counted = sorted(count_ids(encoded, width).collect(), key=lambda r: (-r["n"], r["id"]))
     order = np.array([r["id"] for r in counted], np.int64)
