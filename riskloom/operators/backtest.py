@@ -65,7 +65,7 @@ def replay(snapshots: DataFrame, closes: DataFrame, opens: DataFrame, market: st
     day = day.withColumn("ret", r).withColumn("cost", F.col("turnover") * cost_bps / 1e4)
     path = Window.partitionBy("portfolio").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return day.select("portfolio", "date", "pos", "ret", "turnover", "cost").withColumn(
-        "value", 100.0 * F.exp(F.sum(F.ln(1.0 + F.col("ret") - F.col("cost"))).over(path)))
+        "value", 100.0 * F.exp(F.sum(F.ln(1.0 + F.col("ret") - F.col("cost"))).over(path))).withColumn("total_turnover", F.sum("turnover").over(path))
 
 
 def summary(paths: DataFrame) -> DataFrame:

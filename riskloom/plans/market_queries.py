@@ -273,9 +273,9 @@ def m11(spark, sf):
     return replayed(spark, sf).select("portfolio", F.col("date").cast("string").alias("date"), r6("ret").alias("ret"), r6("turnover").alias("turnover"))
 
 
-@query("w16_value_paths", f"WITH {M}, {BENCH_SQL}, {SNAP_SQL}, {BT_SQL} SELECT portfolio, date::VARCHAR AS date, round(val, 4) AS value FROM pt")
+@query("w16_value_paths", f"WITH {M}, {BENCH_SQL}, {SNAP_SQL}, {BT_SQL} SELECT portfolio, date::VARCHAR AS date, round(val, 4) AS value, round(sum(tov) OVER (PARTITION BY portfolio ORDER BY pos), 6) AS total_turnover FROM pt")
 def w16(spark, sf):
-    return replayed(spark, sf).select("portfolio", F.col("date").cast("string").alias("date"), F.round("value", 4).alias("value"))
+    return replayed(spark, sf).select("portfolio", F.col("date").cast("string").alias("date"), F.round("value", 4).alias("value"), r6("total_turnover").alias("total_turnover"))
 
 
 @query("a32_backtest_summary", f"""WITH {M}, {BENCH_SQL}, {SNAP_SQL}, {BT_SQL}, dd AS (SELECT *, greatest(100, max(val) OVER (PARTITION BY portfolio ORDER BY pos)) AS pk FROM pt)

@@ -204,6 +204,15 @@ def m22(spark, sf):
     return t.select("cluster_id", "updates", big("naive_fires").alias("naive_fires"), big("triggers").alias("triggers"), big("peak_in_review").alias("peak_in_review"), "final_status", big("accounts").alias("accounts"))
 
 
+@query("m22_rumour_updates", f"""WITH {S}, {GATE_SQL} SELECT cluster_id, seq, row_number() OVER w AS update, t AS at, impact::BIGINT AS impact, decision, naive AS naive_decision, social_authors::BIGINT AS accounts, publishers::BIGINT AS publishers,
+ CASE WHEN retracted THEN 'retracted' ELSE 'active' END AS status, max(CASE WHEN decision = 'REVIEW' THEN impact END) OVER w::BIGINT AS peak_in_review FROM g WINDOW w AS (PARTITION BY cluster_id ORDER BY seq)""")
+def m22u(spark, sf):
+    """The timeline update by update."""
+    u = marts.rumour_updates(decisions(spark, sf))
+    return u.select("cluster_id", "seq", "update", secs("as_of").alias("at"), big("impact").alias("impact"), "decision", "naive_decision", big("accounts").alias("accounts"), big("publishers").alias("publishers"),
+                    "status", big("peak_in_review").alias("peak_in_review"))
+
+
 # ------------------------------------------------------------------ latest state and index
 @query("j21_latest_entities", f"WITH {S} SELECT entity_id, max(seq) AS seq FROM signals WHERE grain = 'event' GROUP BY entity_id")
 def j21(spark, sf):

@@ -8,9 +8,10 @@ from riskloom import corpus
 from riskloom.dims.publishers import AUTHORITATIVE, BRANDS, CREDIBILITY, OWNERS, PUBLISHERS
 from riskloom.dims.text_rules import FILING_ITEMS, FINANCE, FINGERPRINT_STOP_WORDS, PRIORITY, STOP_WORDS
 from riskloom.functions import minhash as mh, risk, text as tx, voices
+from riskloom.functions.scan import Carry, hours, prefix_scan
 from riskloom.operators import evaluate, labels, mentions, names, train
 from riskloom.plans.registry import big, joined, query, r6, secs, staged
-from riskloom.session import cut, spread
+from riskloom.session import cut, new_path, spread
 from riskloom.sources import documents as src, tables as ref
 
 DIMS, FEED = corpus.DIMS, corpus.FEED_SQL
@@ -215,6 +216,38 @@ def labelled_rows(spark, sf):
     return f.select("doc_id", "n", "title", F.to_json(m).alias("decisions"))
 
 
+@query("s02_recorded_feed", f"WITH {FEED} SELECT doc_id, source_type, title, {corpus.EPOCH_2024} + t::BIGINT AS at FROM feed")
+def s02(spark, sf):
+    """The feed recorded as JSON lines in two appends, read back."""
+    path = new_path(spark, "recorded")
+    f = feed(spark, sf).select("doc_id", "source_type", "title", "published_at")
+    for k in range(2):
+        ref.record_feed(f.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == k), path)
+    r = spark.read.schema(f.schema).json(path)
+    return r.select("doc_id", "source_type", "title", secs("published_at").alias("at"))
+
+
+@query("s14_report_files", f"WITH {FEED}, r AS (SELECT source_type, publisher, count(*) AS n FROM feed GROUP BY 1, 2) SELECT fmt, source_type, publisher, n FROM r, (VALUES ('csv'), ('json')) AS f(fmt)")
+def s14(spark, sf):
+    """A report (documents by outlet) written as one CSV and one JSON file, both read back."""
+    report = feed(spark, sf).groupBy("source_type", "publisher").agg(F.count("*").alias("n"))
+    parts = []
+    for fmt in ("csv", "json"):
+        path = new_path(spark, f"report-{fmt}")
+        ref.write_report(report, path, fmt)
+        read = spark.read.schema(report.schema)
+        parts.append((read.option("header", "true").csv(path) if fmt == "csv" else read.json(path)).select(F.lit(fmt).alias("fmt"), "source_type", "publisher", "n"))
+    return parts[0].unionByName(parts[1])
+
+
+@query("k01_feed_order", f"WITH {FEED} SELECT doc_id, row_number() OVER (ORDER BY t, doc_id) AS place FROM feed")
+def k01(spark, sf):
+    """Places in the feed's total order: counted day by day, so no task orders the whole feed."""
+    f = feed(spark, sf).select("doc_id", "published_at", F.lit(1).alias("feed"))
+    one = F.lit(1).cast("bigint")
+    return prefix_scan(f, ["feed"], src.ORDER, hours("published_at", 1), [Carry("place", "sum", one)], split=True).select("doc_id", "place")
+
+
 @query("s16_labelled_pairs", f"""WITH {FEED}, w AS (SELECT doc_id, n, title, list_filter(regexp_extract_all(lower(title), '[a-z]+'), lambda w: length(w) > 3) AS ws FROM feed WHERE title <> ''),
  p AS (SELECT doc_id, n, title, list_distinct(ws) AS d, ws FROM w), q AS (SELECT *, ws[1] AS a, ws[len(ws)] AS z0 FROM p WHERE len(d) >= 2),
  o AS (SELECT *, list_filter(ws, lambda x, i: list_position(ws, x) = i) AS firsts FROM q), r AS (SELECT *, firsts[len(firsts)] AS z FROM o),
