@@ -17,7 +17,7 @@ from riskloom.functions import risk
 from riskloom.operators.book import _by_notch, capital_weighted
 from riskloom.session import cut
 
-RUN_CHUNK = 64   # runs that a position is joined with by one key
+BROADCAST_RUNS = 4096
 COARSE_GRID = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0, 5.0, 6.0, 8.0, 10.0)
 
 
@@ -102,11 +102,15 @@ def with_multiples(requests: DataFrame, multiples: Sequence[float]) -> DataFrame
 
 
 def revalue(positions: DataFrame, runs: DataFrame) -> DataFrame:
-    """(position, run) rows: value change, stressed rating, stage, expected loss and capital."""
-    chunks = -(-runs.count() // RUN_CHUNK)
+    """(position, run) rows: value change, stressed rating, stage, expected loss and capital.
+
+    Positions are expanded by run number, so the join has as many keys as runs. Up to ``BROADCAST_RUNS`` runs (a few
+    kilobytes each) travel to the positions; more are joined by a shuffle over their many numbers.
+    """
+    n_runs = runs.count()
     rows = fin.rating_rows()
-    chunk = F.explode(F.slice(F.sequence(F.lit(0), F.lit(max(chunks, 1) - 1)), 1, chunks))
-    x = positions.withColumn("_chunk", chunk).join(runs.withColumn("_chunk", F.floor(F.col("run") / RUN_CHUNK).cast("int")), "_chunk").drop("_chunk")
+    every = F.explode(F.slice(F.sequence(F.lit(0), F.lit(max(n_runs, 1) - 1)), 1, n_runs))
+    x = positions.withColumn("run", every).join(F.broadcast(runs) if n_runs <= BROADCAST_RUNS else runs, "run")
     is_epi = F.col("obligor_id") == F.col("epi_id")
     group_peer = (F.col("contagion") == "group") & (F.coalesce("epi.group", F.lit("")) != "") & (F.col("group") == F.col("epi.group"))
     sector_peer = (F.col("contagion") != "group") & (F.col("sector") == F.col("epi.sector")) & (F.col("bank") == F.col("epi.bank")) & (F.col("country") == F.col("epi.country"))
