@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.dims.finance import TiltConfig
+from riskloom.dims.finance import STRICT_TILT, TiltConfig
 from riskloom.functions.rounds import block_fold
 from riskloom.functions.scan import Carry, asof_last, prefix_scan
-from riskloom.operators.index import tilt_index
-
-MAX_MEMBERS = 2_000
+from riskloom.operators.index import tilt_indices
 
 
 def capped_weights(caps: DataFrame, group: Sequence[str], name: str = "ticker", cap: float = 0.15, value: str = "cap") -> DataFrame:
@@ -47,40 +44,22 @@ def shrunk_z(values: DataFrame, group: Sequence[str], k: float = 2.0, value: str
     return values.withColumn("z", (x - F.avg(x).over(w)) / sd * n / (n + F.lit(k)))
 
 
-@dataclass(frozen=True)
-class Holdings:
-    """Index members as aligned arrays; an index is a short list, and its length is checked."""
-
-    tickers: tuple[str, ...]
-    bench: tuple[float, ...]
-    vol: tuple[float, ...]
-    sector: tuple[str, ...]
-    group: tuple[str, ...]
-
-    @classmethod
-    def of(cls, df: DataFrame) -> Holdings:
-        rows = sorted(df.select("ticker", "bench", "vol", "sector", "group").limit(MAX_MEMBERS + 1).collect())
-        if len(rows) > MAX_MEMBERS:
-            raise ValueError(f"an index of more than {MAX_MEMBERS} names is not supported")
-        cols = list(zip(*rows))
-        return cls(*[tuple(c) for c in cols])
+MEMBER = ["ticker", "bench", "vol", "sector", "group"]
 
 
-def panel(updates: DataFrame, values: DataFrame, breakers: DataFrame, h: Holdings, split: bool | None = None) -> DataFrame:
-    """Per update: arrays of every member's index value, story count and breaker flag as of that moment.
+def panel(updates: DataFrame, values: DataFrame, breakers: DataFrame, members: DataFrame, settings: Sequence[str], split: bool | None = None) -> DataFrame:
+    """Per (setting, index, update): every member of the index with its value, story count and breaker flag as of then.
 
     A member's index does not move between its own updates (all its stories decay alike), so the
-    panel is an as-of read of the last value per member.
+    panel is an as-of read of the last value per member. Members are a table: index_name, ticker, bench, vol, sector, group.
     """
-    names = F.array(*[F.lit(t) for t in h.tickers])
-    probes = updates.select("seq", "as_of", "forced", F.explode(names).alias("ticker"))
+    probes = updates.join(members.select("index_name", *MEMBER), "index_name").withColumn("setting", F.explode(F.array(*[F.lit(x) for x in settings])))
     bucket = F.floor(F.col("seq") / 1_000_000)
-    a = asof_last(probes, values.select("ticker", "seq", "index_value", "stories"), ["ticker"], "seq", bucket, ["index_value", "stories"], split=split)
+    a = asof_last(probes, values.select("setting", "ticker", "seq", "index_value", "stories"), ["setting", "ticker"], "seq", bucket, ["index_value", "stories"], split=split)
     b = asof_last(a, breakers.select("ticker", "seq", "breaker"), ["ticker"], "seq", bucket, ["breaker"], split=split)
-    return b.groupBy("seq", "as_of", "forced").agg(F.array_sort(F.collect_list(F.struct(
+    return b.groupBy("setting", "index_name", "seq", "as_of", "forced").agg(F.array_sort(F.collect_list(F.struct(
         "ticker", F.coalesce("index_value", F.lit(0.0)).alias("x"), F.coalesce("stories", F.lit(0)).cast("int").alias("n"),
-        F.coalesce("breaker", F.lit(False)).alias("b")))).alias("m")).select(
-            "seq", "as_of", "forced", F.col("m.x").alias("x"), F.col("m.n").alias("n"), F.col("m.b").alias("b"))
+        F.coalesce("breaker", F.lit(False)).alias("b"), *MEMBER[1:]))).alias("m"))   # the members of one index
 
 
 def _project_rows(raw: np.ndarray, breaker: np.ndarray, bench: np.ndarray, sectors: list[np.ndarray], groups: np.ndarray,
@@ -121,112 +100,128 @@ def _project_rows(raw: np.ndarray, breaker: np.ndarray, bench: np.ndarray, secto
     return w
 
 
-def targets(rows: DataFrame, h: Holdings, cfg: TiltConfig) -> DataFrame:
-    """Panel rows -> target weights: z, exponential tilt scaled by inverse volatility, projection.
+TARGETS = ("config string, index_name string, seq bigint, as_of timestamp, forced boolean, band double, cost_bps double, tickers array<string>, bench array<double>, z array<double>, "
+           "raw array<double>, target array<double>, alpha array<double>, b array<boolean>")
+
+
+def targets(rows: DataFrame, configs: Sequence[TiltConfig]) -> DataFrame:
+    """Panel rows -> target weights under every configuration: z, exponential tilt scaled by inverse volatility, projection.
 
-    Arrow batches of updates are solved together; each row is one small problem.
+    Arrow batches of updates are solved together, the rows of one index and configuration at a time; each row is one small
+    problem, and no index is held anywhere but in its rows.
     """
-    bench, vol, group = np.array(h.bench), np.array(h.vol), np.array(h.group)
-    sectors = [np.flatnonzero(np.array(h.sector) == s) for s in sorted(set(h.sector))]
-    names = len(h.tickers)
+    by_name = {c.name: c for c in configs}
+    wanted = F.array(*[F.struct(F.lit(c.name).alias("config"), F.lit(setting_of(c)).alias("of")) for c in configs])
+    each = rows.withColumn("_c", F.explode(wanted)).filter(F.col("_c.of") == F.col("setting")).select("_c.config", "index_name", "seq", "as_of", "forced", "m")
     project = _project_rows
 
     def solve(batches):
         for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf["x"].to_numpy()).astype(float)
-            n = np.stack(pdf["n"].to_numpy()).astype(float)
-            b = np.stack(pdf["b"].to_numpy()).astype(bool)
-            sd = np.maximum(x.std(1, ddof=1) if names > 1 else np.zeros(len(x)), 0.05)
-            z = (x - x.mean(1)[:, None]) / sd[:, None] * n / (n + cfg.shrink_k)
-            raw = bench * np.exp(cfg.kappa * z * vol.mean() / np.maximum(vol, 1e-6))
-            raw = raw / raw.sum(1)[:, None]
-            w = project(raw, b, bench, sectors, group, cfg)
-            yield pd.DataFrame({
-                "seq": pdf["seq"], "as_of": pdf["as_of"], "forced": pdf["forced"], "z": list(z), "raw": list(raw),
-                "target": list(w), "alpha": list(cfg.ic * vol * z), "b": list(b)})
-
-    return rows.mapInPandas(solve, "seq bigint, as_of timestamp, forced boolean, z array<double>, raw array<double>, "
-                                   "target array<double>, alpha array<double>, b array<boolean>")
-
-
-def tilt_targets(events: DataFrame, decisions: DataFrame | None, h: Holdings, cfg: TiltConfig, split: bool | None = None) -> DataFrame:
-    """Events of index members -> target weights at each update (breakers from gate decisions)."""
+            for (config, index), part in pdf.groupby(["config", "index_name"], sort=False):
+                cfg, first = by_name[config], part["m"].iloc[0]
+                pick = lambda name, kind: np.array([[e[name] for e in m] for m in part["m"]], kind)  # noqa: E731, B023
+                bench, vol, group = (np.array([e[k] for e in first]) for k in ("bench", "vol", "group"))
+                sector = np.array([e["sector"] for e in first])
+                x, n, b = pick("x", float), pick("n", float), pick("b", bool)
+                sd = np.maximum(x.std(1, ddof=1) if x.shape[1] > 1 else np.zeros(len(x)), 0.05)
+                z = (x - x.mean(1)[:, None]) / sd[:, None] * n / (n + cfg.shrink_k)
+                raw = bench * np.exp(cfg.kappa * z * vol.mean() / np.maximum(vol, 1e-6))
+                raw = raw / raw.sum(1)[:, None]
+                w = project(raw, b, bench, [np.flatnonzero(sector == s) for s in sorted(set(sector))], group, cfg)
+                same = lambda v: [list(v)] * len(part)  # noqa: E731, B023
+                yield pd.DataFrame({
+                    "config": config, "index_name": index, "seq": part["seq"].to_numpy(), "as_of": part["as_of"].to_numpy(), "forced": part["forced"].to_numpy(), "band": cfg.band, "cost_bps": cfg.cost_bps,
+                    "tickers": same([e["ticker"] for e in first]), "bench": same(bench.tolist()), "z": list(z), "raw": list(raw), "target": list(w), "alpha": list(cfg.ic * vol * z), "b": list(b)})
+
+    return each.mapInPandas(solve, TARGETS)
+
+
+def setting_of(c: TiltConfig) -> str:
+    """Names what the signal side of a configuration depends on."""
+    return f"{c.half_life_hours}|{c.min_novelty}|{c.min_abs_sentiment}|{c.min_relevance}"
+
+
+def tilt_targets(events: DataFrame, decisions: DataFrame | None, members: DataFrame, configs: Sequence[TiltConfig], split: bool | None = None) -> DataFrame:
+    """Events of index members -> target weights of every index at each of its updates (breakers from gate decisions).
+
+    All indices and configurations are one job: signal settings and configurations are exploded from a short list, indices
+    come from the members table.
+    """
     from riskloom.operators.gate import breaker_state
 
-    members = events.filter(F.col("ticker").isin(*h.tickers))
-    values = tilt_index(members, cfg.half_life_hours, cfg.min_novelty, cfg.min_abs_sentiment, cfg.min_relevance, split=split)
-    updates = members.select("seq", "as_of", F.lit(False).alias("forced"))
+    names, held = members.select("ticker").distinct(), members.select("index_name", "ticker")
+    own = events.join(names, "ticker", "left_semi")
+    settings = {setting_of(c): c for c in configs}
+    table = F.array(*[F.struct(F.lit(k).alias("setting"), F.lit(float(c.half_life_hours)).alias("half_life_h"), F.lit(c.min_novelty).alias("min_novelty"),
+                               F.lit(float(c.min_abs_sentiment)).alias("threshold"), F.lit(c.min_relevance).alias("min_relevance")) for k, c in settings.items()])
+    values = tilt_indices(own, table, split=split)
+    updates = own.join(held, "ticker").select("index_name", "seq", "as_of", F.lit(False).alias("forced"))
     if decisions is None:
-        breakers = members.select("ticker", "seq", F.lit(False).alias("breaker")).limit(0)
+        breakers = own.select("ticker", "seq", F.lit(False).alias("breaker")).limit(0)
     else:
-        state = breaker_state(decisions.filter(F.col("ticker").isin(*h.tickers)), "ticker", split=split)
+        state = breaker_state(decisions.join(names, "ticker", "left_semi"), "ticker", split=split)
         prev = prefix_scan(state, ["ticker"], ["seq"], F.floor(F.col("seq") / 1_000_000), [
             Carry("_was", "last", F.col("breaker"), inclusive=False)], split)
         breakers = state.select("ticker", "seq", "breaker")
-        flips = prev.filter(F.coalesce("_was", F.lit(False)) != F.col("breaker")).select(F.col("seq").alias("fseq")).distinct()
-        updates = updates.join(flips, F.col("seq") == F.col("fseq"), "left").select(
-            "seq", "as_of", F.col("fseq").isNotNull().alias("forced"))
-    return targets(panel(updates, values, breakers, h, split), h, cfg)
+        flips = prev.filter(F.coalesce("_was", F.lit(False)) != F.col("breaker")).join(held, "ticker").select("index_name", "seq", F.lit(True).alias("_flip")).distinct()
+        updates = updates.join(flips, ["index_name", "seq"], "left").select("index_name", "seq", "as_of", F.col("_flip").isNotNull().alias("forced"))
+    return targets(panel(updates, values, breakers, members, list(settings), split), configs)
+
+
+PATH = ("config string, index_name string, block bigint, seq bigint, as_of timestamp, tickers array<string>, bench array<double>, prev array<double>, weights array<double>, "
+        "raw array<double>, turnover double, cost_bps double")
 
 
-def rebalance_path(solved: DataFrame, h: Holdings, cfg: TiltConfig, block_hours: int = 24) -> DataFrame:
+def rebalance_path(solved: DataFrame, block_hours: int = 24) -> DataFrame:
     """No-trade band over the targets in order: adopt when the change exceeds the band or is forced.
 
-    Path dependent, so it is a block fold: days are folded in parallel and re-folded where the
+    Path dependent, so it is a block fold per (config, index): days are folded in parallel and re-folded where the
     weights they start from turn out different.
     """
-    bench = list(h.bench)
-    band, cost_bps, name = cfg.band, cfg.cost_bps, cfg.name
-    rows = solved.select(
-        F.lit(name).alias("config"), F.floor(F.unix_seconds("as_of") / (block_hours * 3600)).alias("block"), "seq", "as_of", "forced", "target", "raw")
-    return block_fold(
-        rows, ["config"], "block", _fold_band(bench, band, cost_bps),
-        "config string, block bigint, seq bigint, as_of timestamp, prev array<double>, weights array<double>, "
-        "raw array<double>, turnover double, cost_bps double", json.dumps(bench)).drop("block")
-
-
-def _fold_band(bench: list[float], band: float, cost_bps: float):
-    def fold(state: str, pdf: pd.DataFrame):
-        import json as js
-
-        import numpy as np_
-        import pandas as pd_
-
-        current = np_.array(js.loads(state))
-        out = []
-        for r in pdf.sort_values("seq").itertuples(index=False):
-            target = np_.asarray(r.target, float)
-            moved = float(np_.abs(target - current).sum())
-            if moved < band and not r.forced:
-                continue
-            out.append((r.config, r.block, r.seq, r.as_of, current.tolist(), target.tolist(), list(r.raw), moved, moved * cost_bps))
-            current = target
-        cols = ["config", "block", "seq", "as_of", "prev", "weights", "raw", "turnover", "cost_bps"]
-        return pd_.DataFrame(out, columns=cols), js.dumps(current.tolist())
-
-    return fold
-
-
-def attribution(path: DataFrame, h: Holdings) -> DataFrame:
+    rows = solved.select("config", "index_name", F.floor(F.unix_seconds("as_of") / (block_hours * 3600)).alias("block"), "seq", "as_of", "forced", "band", F.col("cost_bps").alias("bps"),
+                         "tickers", "bench", "target", "raw")
+    return block_fold(rows, ["config", "index_name"], "block", _fold_band, PATH, "null").drop("block")
+
+
+def _fold_band(state: str, pdf: pd.DataFrame) -> tuple[pd.DataFrame, str]:
+    """``state``: the weights held, or null for the benchmark itself."""
+    import json as js
+
+    import numpy as np_
+    import pandas as pd_
+
+    rows = pdf.sort_values("seq")
+    held = js.loads(state)
+    current = np_.array(rows["bench"].iloc[0] if held is None else held, float)
+    out = []
+    for r in rows.itertuples(index=False):
+        target = np_.asarray(r.target, float)
+        moved = float(np_.abs(target - current).sum())
+        if moved < r.band and not r.forced:
+            continue
+        out.append((r.config, r.index_name, r.block, r.seq, r.as_of, list(r.tickers), list(r.bench), current.tolist(), target.tolist(), list(r.raw), moved, moved * r.bps))
+        current = target
+    cols = ["config", "index_name", "block", "seq", "as_of", "tickers", "bench", "prev", "weights", "raw", "turnover", "cost_bps"]
+    return pd_.DataFrame(out, columns=cols), js.dumps(current.tolist()) if out else state
+
+
+def attribution(path: DataFrame) -> DataFrame:
     """Snapshot rows -> one row per name: benchmark, before, signal target, after, and the two causes."""
-    names = F.array(*[F.lit(t) for t in h.tickers])
-    bench = F.array(*[F.lit(b) for b in h.bench])
-    one = path.select("config", "seq", "as_of", F.explode(F.arrays_zip(
-        names.alias("ticker"), bench.alias("bench"), F.col("prev"), F.col("raw").alias("signal_target"), F.col("weights").alias("final"))).alias("a"))
-    a = one.select("config", "seq", "as_of", "a.*")
+    one = path.select("config", "index_name", "seq", "as_of", F.explode(F.arrays_zip(
+        F.col("tickers").alias("ticker"), F.col("bench"), F.col("prev"), F.col("raw").alias("signal_target"), F.col("weights").alias("final"))).alias("a"))
+    a = one.select("config", "index_name", "seq", "as_of", "a.*")
     return a.select("*", (F.col("signal_target") - F.col("bench")).alias("from_signal"),
                     (F.col("final") - F.col("signal_target")).alias("from_constraints"), (F.col("final") - F.col("prev")).alias("change"))
 
 
-def sweep(events: DataFrame, decisions: DataFrame | None, h: Holdings, grid: Sequence[TiltConfig], split: bool | None = None) -> DataFrame:
-    """Rebalance paths of every configuration of a grid."""
-    out = None
-    for cfg in grid:
-        path = rebalance_path(tilt_targets(events, decisions, h, cfg, split), h, cfg)
-        out = path if out is None else out.unionByName(path)
-    return out
+def sweep(events: DataFrame, decisions: DataFrame | None, members: DataFrame, grid: Sequence[TiltConfig], split: bool | None = None) -> DataFrame:
+    """Rebalance paths of every index under every configuration of a grid, as one job."""
+    return rebalance_path(tilt_targets(events, decisions, members, grid, split))
+
+
+def grid_of(kappas: Sequence[float], half_lives: Sequence[float], strict: Sequence[bool] = (False, True)) -> list[TiltConfig]:
+    """Every combination of aggressiveness, half-life and filters."""
+    return [replace(STRICT_TILT if s else TiltConfig(), name=f"k{k:g}-h{h:g}-{'strict' if s else 'base'}", kappa=k, half_life_hours=h) for k in kappas for h in half_lives for s in strict]
 
 
 def naive_turnover(documents: DataFrame, bench: DataFrame, split: bool | None = None) -> DataFrame:

@@ -141,15 +141,16 @@ def m07(spark, sf):
     return members(spark, sf).select("ticker", r6("bench").alias("bench"))
 
 
-def holdings(spark, sf) -> tilt.Holdings:
+def holdings(spark, sf, indices=("BRANDS",)) -> DataFrame:
+    """Members of the indices with volatility, sector and group: all brands, and the brands of even number."""
     def build():
         vol = market.ewma_volatility(px(spark, sf)).select(F.col("series").alias("ticker"), "vol")
         k = F.regexp_extract("ticker", r"(\d+)", 1).cast("int")
-        h = members(spark, sf).join(vol, "ticker", "left").select(
-            "ticker", "bench", F.coalesce("vol", F.lit(0.25)).alias("vol"), F.concat(F.lit("S"), (k % 5).cast("string")).alias("sector"),
-            F.when(k % 7 == 0, "G").otherwise("").alias("group"))
-        return tilt.Holdings.of(h)
-    return staged(spark, sf, "holdings", build)
+        caps = px(spark, sf).filter(F.col("series").startswith("Brand#")).groupBy(F.col("series").alias("ticker")).agg(F.sum("value").alias("cap"))
+        even = tilt.capped_weights(caps.filter(k % 2 == 0).withColumn("index_name", F.lit("EVEN")), ["index_name"], cap=0.12)
+        h = members(spark, sf).unionByName(even).join(vol, "ticker", "left")
+        return h.select("index_name", "ticker", "bench", F.coalesce("vol", F.lit(0.25)).alias("vol"), F.concat(F.lit("S"), (k % 5).cast("string")).alias("sector"), F.when(k % 7 == 0, "G").otherwise("").alias("group"))
+    return staged(spark, sf, "holdings", build).filter(F.col("index_name").isin(*indices))
 
 
 @query("w08_shrunk_scores", f"""WITH {S}, d AS (SELECT cluster_id, entity_id, arg_max(sentiment, seq) AS x, count(*) AS n FROM signals GROUP BY ALL), s AS (SELECT *, avg(x) OVER (PARTITION BY entity_id) AS mu, greatest(coalesce(stddev_samp(x) OVER (PARTITION BY entity_id), 0), 0.05) AS sd FROM d)
@@ -169,11 +170,11 @@ def m06(spark, sf):
 
 
 def solved(spark, sf) -> DataFrame:
-    return staged(spark, sf, "targets", lambda: tilt.tilt_targets(events(spark, sf), decisions(spark, sf), holdings(spark, sf), fin.TiltConfig()))
+    return staged(spark, sf, "targets", lambda: tilt.tilt_targets(events(spark, sf), decisions(spark, sf), holdings(spark, sf), [fin.TiltConfig()]))
 
 
 def path(spark, sf) -> DataFrame:
-    return staged(spark, sf, "path", lambda: tilt.rebalance_path(solved(spark, sf), holdings(spark, sf), fin.TiltConfig()))
+    return staged(spark, sf, "path", lambda: tilt.rebalance_path(solved(spark, sf)))
 
 
 @query("m08_targets")
@@ -194,23 +195,31 @@ def m09(spark, sf):
 @query("m09_attribution")
 def m09a(spark, sf):
     """Each snapshot split into signal and constraint effects per name."""
-    a = tilt.attribution(path(spark, sf), holdings(spark, sf))
+    a = tilt.attribution(path(spark, sf))
     return a.select("seq", "ticker", r6("final").alias("final"), r6("from_signal").alias("from_signal"), r6("from_constraints").alias("from_constraints"))
 
 
 @query("k07_movers")
 def k07(spark, sf):
     """Top six names by largest active weight over the path."""
-    a = tilt.attribution(path(spark, sf), holdings(spark, sf)).withColumnRenamed("final", "weight")
+    a = tilt.attribution(path(spark, sf)).withColumnRenamed("final", "weight")
     return marts.movers(a).select("ticker", r6("max_active").alias("max_active"))
 
 
+@query("m08_two_indices")
+def m08i(spark, sf):
+    """Targets of two indices in one job: names, weight invested and the largest weight at every update."""
+    both = holdings(spark, sf, ("BRANDS", "EVEN"))
+    t = tilt.tilt_targets(events(spark, sf), decisions(spark, sf), both, [fin.TiltConfig()])
+    s = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return t.select("index_name", "seq", big(F.size("tickers")).alias("names"), r6(s(F.col("target"))).alias("invested"), r6(F.array_max("target")).alias("largest"))
+
+
 @query("m10_parameter_sweep")
 def m10(spark, sf):
-    """Rebalance paths over a grid of aggressiveness, half-life and filters."""
-    grid = [fin.TiltConfig(name="k0.3", kappa=0.3), fin.TiltConfig(name="h24", half_life_hours=24.0), fin.STRICT_TILT]
-    p = tilt.sweep(events(spark, sf), decisions(spark, sf), holdings(spark, sf), grid)
-    return p.groupBy("config").agg(F.count("*").alias("rebalances"), r6(F.sum("turnover")).alias("turnover"))
+    """Rebalance paths over aggressiveness x half-life x filters x market, as one job."""
+    p = tilt.sweep(events(spark, sf), decisions(spark, sf), holdings(spark, sf, ("BRANDS", "EVEN")), tilt.grid_of((0.3, 0.6, 0.9), (6.0, 24.0)))
+    return p.groupBy("config", "index_name").agg(F.count("*").alias("rebalances"), r6(F.sum("turnover")).alias("turnover"))
 
 
 # ------------------------------------------------------------------ back-test
