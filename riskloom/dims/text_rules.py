@@ -142,7 +142,7 @@ class TextDims:
     rules: tuple[tuple[str, str, float, str], ...] = RULES
     items: tuple[tuple[str, str, str, int], ...] = FILING_ITEMS
     positive: frozenset[str] = frozenset(POSITIVE_WORDS.split())
-    negative: frozenset[str] = frozenset((NEGATIVE_WORDS + STRONG_NEGATIVE_WORDS).split()) - {"pause"}
+    negative: frozenset[str] = frozenset((NEGATIVE_WORDS + STRONG_NEGATIVE_WORDS).split())
     strong_positive: frozenset[str] = frozenset(STRONG_POSITIVE_WORDS.split())
     strong_negative: frozenset[str] = frozenset(STRONG_NEGATIVE_WORDS.split())
     question: frozenset[str] = frozenset(QUESTION_WORDS.split())

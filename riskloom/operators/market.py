@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.dims import finance as fin
+
 EWMA_DECAY, EWMA_ROWS, EWMA_MIN, TRADING_DAYS = 0.97, 260, 20, 252
 
 
@@ -65,13 +67,13 @@ def caps_from_shares(shares: DataFrame, prices: DataFrame, cutoff: str) -> DataF
 
 
 # ------------------------------------------------------------------ scenario shocks
-def scenario_dim(spark, scenarios) -> DataFrame:
+def scenario_dim(spark, scenarios=fin.SCENARIOS) -> DataFrame:
     rows = [(s[0], s[1], s[2], s[3], list(s[4]), s[5]) for s in scenarios]
     return spark.createDataFrame(rows, "scenario string, label string, start string, end string, epicenters array<string>, scope string").withColumn(
         "start", F.to_date("start")).withColumn("end", F.to_date("end"))
 
 
-def factor_dim(spark, factors) -> DataFrame:
+def factor_dim(spark, factors=fin.FACTORS) -> DataFrame:
     rows = [(f, kind, i, s, float(k), s if i == 0 else f"fallback:{s}" + (f"x{k:g}" if k != 1 else ""))
             for f, kind, cols in factors for i, (s, k) in enumerate(cols)]
     return spark.createDataFrame(rows, "factor string, kind string, priority int, series string, scale double, source string")
@@ -99,8 +101,8 @@ def excursions(prices: DataFrame, scenarios: DataFrame, value: str = "value") ->
         F.max_by("move", rank).alias("move"), F.max_by("date", rank).alias("peak_date"))
 
 
-def analog_shocks(prices: DataFrame, scenarios: DataFrame, factors: DataFrame, name_suffix: str | None = None, value: str = "value") -> DataFrame:
-    """Shock per (scenario, factor): the first available series of the factor, scaled; plus name-level shocks."""
+def analog_shocks(prices: DataFrame, scenarios: DataFrame, factors: DataFrame, name_suffix: str | None = fin.NAME_SUFFIX, value: str = "value") -> DataFrame:
+    """Shock per (scenario, factor): the first available series of the factor, scaled; plus one per name (a series with the suffix)."""
     moves = excursions(prices, scenarios, value)
     ranked = moves.join(F.broadcast(factors), ["series", "kind"])
     first = ranked.groupBy("scenario", "factor", "kind").agg(

@@ -106,6 +106,13 @@ def m12(spark, sf):
     return shocks(spark, sf).select("scenario", "factor", "value")
 
 
+@query("m12_name_shocks", f"WITH {M}, {SHOCK_SQL} SELECT scenario, 'EQN:' || series || '{fin.NAME_SUFFIX}' AS factor, round_even(move, 6) AS value FROM mx WHERE kind = 'ret' AND starts_with(series, 'Brand#')")
+def m12n(spark, sf):
+    """A shock for every name: brands as the listed names of a market."""
+    p = px(spark, sf).filter(F.col("series").startswith("Brand#")).withColumn("series", F.concat("series", F.lit(fin.NAME_SUFFIX)))
+    return market.analog_shocks(p, scenarios(spark), market.factor_dim(spark, corpus.CORPUS_FACTORS)).select("scenario", "factor", "value")
+
+
 @query("s11_shock_vectors", f"WITH {M}, {SHOCK_SQL} SELECT scenario, count(*) AS factors, round(sum(value), 6) AS total FROM shock GROUP BY 1")
 def s11(spark, sf):
     v = market.shock_vectors(shocks(spark, sf))

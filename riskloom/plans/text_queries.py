@@ -156,6 +156,11 @@ SELECT id AS entity_id, name, CASE WHEN f = 1 THEN 'US' ELSE 'IN' END AS index_n
   CAST(CASE WHEN k % 3 = 0 THEN 0 ELSE k % 3 END AS BIGINT) AS n_aliases, 1 + CAST(k % 2 AS BIGINT) AS n_tags FROM r WHERE n = 1""")
 def s09(spark, sf):
     """Entity files built from ``supplier`` and ``customer``: pipe lists, padded ids, first file wins."""
+    u = ref.universe(entity_files(spark, sf))
+    return u.select("entity_id", "name", "index_name", "cik", big(F.size("aliases")).alias("n_aliases"), big(F.size("cashtags")).alias("n_tags"))
+
+
+def entity_files(spark, sf):
     def file(t, key, name):
         d = corpus.table(spark, sf, t)
         k = F.col(key)
@@ -163,8 +168,17 @@ def s09(spark, sf):
             F.concat(F.lit(" e"), k.cast("string")).alias("ticker"), F.col(name).alias("name"), F.when(k % 2 == 0, k.cast("string")).alias("cik"), F.lit("Energy").alias("sector"),
             F.when(k % 3 == 1, "a").when(k % 3 == 2, "a | b |").otherwise("").alias("aliases"), F.lit("").alias("ambiguous_aliases"),
             F.when(k % 2 == 1, "TAG").alias("extra_cashtags"), F.lit("x.example|y.example").alias("domains"))
-    u = ref.universe([(file("supplier", "s_suppkey", "s_name"), "US"), (file("customer", "c_custkey", "c_name"), "IN")])
-    return u.select("entity_id", "name", "index_name", "cik", big(F.size("aliases")).alias("n_aliases"), big(F.size("cashtags")).alias("n_tags"))
+    return [(file("supplier", "s_suppkey", "s_name"), "US"), (file("customer", "c_custkey", "c_name"), "IN")]
+
+
+@query("s09_macro_universe", "WITH s AS (SELECT DISTINCT 'E' || CAST(k AS VARCHAR) AS id FROM (SELECT s_suppkey AS k FROM supplier UNION ALL SELECT c_custkey FROM customer)) SELECT 'company' AS entity_type, count(*) AS n, CAST(NULL AS VARCHAR) AS entity_id, CAST(NULL AS BIGINT) AS n_aliases FROM s UNION ALL SELECT 'macro', 1, id, n FROM (VALUES "
+       + ", ".join(f"('{e}', {len(a)})" for e, _, a in ref.MACRO_ENTITIES) + ") m(id, n)")
+def s09m(spark, sf):
+    """The universe with its macro entities: how many companies, and each macro entity with its aliases."""
+    u = ref.universe(entity_files(spark, sf), ref.macro_entities(spark))
+    macro = F.col("entity_type") == "macro"
+    g = u.groupBy("entity_type", F.when(macro, F.col("entity_id")).alias("entity_id"), F.when(macro, F.size("aliases")).alias("n_aliases")).agg(F.count("*").alias("n"))
+    return g.select("entity_type", "n", "entity_id", big("n_aliases").alias("n_aliases"))
 
 
 @query("p19_universe_slices", """WITH s AS (SELECT 'E' || CAST(s_suppkey AS VARCHAR) AS id, 1 AS f FROM supplier UNION ALL SELECT 'E' || CAST(c_custkey AS VARCHAR), 2 FROM customer),
