@@ -20,7 +20,7 @@ from riskloom.session import new_path
 SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes that a memo of encoded words takes at most, and those of an entry beside its letters and ids; more words are
 #: computed again, never dropped.
-MEMO_BYTES, ENTRY_BYTES = 48 << 20, 120
+MEMO_BYTES, ENTRY_BYTES = 32 << 20, 120
 #: Characters of text that are cut into pieces at a time, and new pieces that are encoded at a time.
 GROUP_CHARS, GROUP_PIECES = 1 << 20, 512
 
