@@ -46,3 +46,32 @@ def test_grid_and_attribution(spark):
     p = tilt.sweep(mq.events(spark, SF), mq.decisions(spark, SF), mq.holdings(spark, SF), grid[:2])
     a = tilt.attribution(p).groupBy("config", "seq").agg(F.sum("change").alias("c"), F.sum(F.col("from_signal") + F.col("from_constraints") + F.col("bench") - F.col("final")).alias("d")).collect()
     assert a and all(abs(r.c) < 1e-9 and abs(r.d) < 1e-9 for r in a)
+
+
+def test_updates_are_not_multiplied_by_members(spark, monkeypatch):
+    """The rows on the way to the solver are changes, updates and one row per block and member; values equal a plain replay."""
+    monkeypatch.setattr(tilt, "BLOCK_UPDATES", 16)
+    monkeypatch.setattr(tilt, "CELLS", 40)
+    n = 30
+    members = spark.range(n).select(F.lit("I").alias("index_name"), F.format_string("N%02d", "id").alias("ticker"), F.lit(1.0 / n).alias("bench"), F.lit(0.2).alias("vol"), F.lit("S").alias("sector"), F.lit("").alias("group"))
+    facts = [(1000 + 3 * i, f"N{i * 7 % n:02d}", (i * 37 % 100) / 50 - 1.0, i % 9) for i in range(200)]
+    values = spark.createDataFrame([("s", t, q, x, k) for q, t, x, k in facts], "setting string, ticker string, seq bigint, index_value double, stories int")
+    flags = [(1000 + 15 * i, f"N{i * 11 % n:02d}", i % 2 == 0) for i in range(40)]
+    breakers = spark.createDataFrame(flags, "seq bigint, ticker string, breaker boolean")
+    updates = values.select(F.lit("I").alias("index_name"), "seq", F.timestamp_seconds("seq").alias("as_of"), F.lit(False).alias("forced"))
+    cfg = fin.TiltConfig()
+    monkeypatch.setattr(tilt, "setting_of", lambda c: "s")
+    rows = tilt.panel(updates, values, breakers, members, ["s"])
+    assert rows.count() < 200 * n / 2
+    got = {r.seq: r for r in tilt.targets(rows, [cfg]).collect()}
+    x, stories, b = {}, {}, {}
+    assert len(got) == 200
+    for q, t, v, k in facts:
+        x[t], stories[t] = v, k
+        b |= {name: on for at, name, on in flags if q - 3 < at <= q}
+        names = [f"N{i:02d}" for i in range(n)]
+        xs = [x.get(m, 0.0) for m in names]
+        mean = sum(xs) / n
+        sd = max((sum((v - mean) ** 2 for v in xs) / (n - 1)) ** 0.5, 0.05)
+        assert got[q].tickers == names and got[q].b == [b.get(m, False) for m in names]
+        assert got[q].z == pytest.approx([(x.get(m, 0.0) - mean) / sd * stories.get(m, 0) / (stories.get(m, 0) + cfg.shrink_k) for m in names], abs=1e-9)
