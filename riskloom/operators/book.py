@@ -110,16 +110,17 @@ def carrying_value() -> Column:
         .when(F.col("asset_class") == "Equities", F.col("value")).otherwise(F.coalesce("mtm", F.lit(0.0))))
 
 
-def capital_weighted(notch: Column, defaulted: Column, value: Column) -> Column:
+def capital_weighted(notch: Column, defaulted: Column, value: Column, asset: Column | None = None) -> Column:
     """Risk-weighted assets: loans on EAD, bonds on value, equities 2.5x, derivatives by add-on."""
+    asset = F.col("asset_class") if asset is None else asset
     weights = [r.risk_weight for r in fin.rating_rows()]
     rw = F.coalesce(_by_notch(weights, notch), F.lit(fin.UNRATED_RISK_WEIGHT))
     addon = F.create_map(*[F.lit(x) for kv in fin.DERIVATIVE_ADDON.items() for x in kv])
     bad = F.lit(fin.DEFAULTED_RISK_WEIGHT)
     return (
-        F.when(F.col("asset_class") == "Loans", F.col("ead") * F.when(defaulted, bad).otherwise(rw))
-        .when(F.col("asset_class") == "Bonds", value * F.when(defaulted, bad).when(F.col("sovereign"), 0.0).otherwise(rw))
-        .when(F.col("asset_class") == "Equities", F.greatest(F.lit(0.0), value) * fin.EQUITY_RISK_WEIGHT)
+        F.when(asset == "Loans", F.col("ead") * F.when(defaulted, bad).otherwise(rw))
+        .when(asset == "Bonds", value * F.when(defaulted, bad).when(F.col("sovereign"), 0.0).otherwise(rw))
+        .when(asset == "Equities", F.greatest(F.lit(0.0), value) * fin.EQUITY_RISK_WEIGHT)
         .otherwise(F.col("notional") * F.coalesce(F.try_element_at(addon, F.col("instrument")), F.lit(fin.OTHER_ADDON))))
 
 

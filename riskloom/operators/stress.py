@@ -8,6 +8,7 @@ so the exchange carries totals, not positions.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from riskloom.operators.book import _by_notch, capital_weighted
 from riskloom.session import cut
 
 BROADCAST_RUNS = 4096
+CLASSES = ("Loans", "Bonds", "Equities")   # with formulas of their own; anything else is a derivative
 COARSE_GRID = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0, 5.0, 6.0, 8.0, 10.0)
 
 
@@ -94,7 +96,21 @@ def build_runs(requests: DataFrame, obligors: DataFrame, vectors: DataFrame, sce
         F.when(on, n).otherwise(0).alias("epi_notches"),
         F.when(on, F.bround(n * share, 0).cast("int")).otherwise(0).alias("peer_notches"), F.col("ov.contagion").alias("contagion"),
         defaulted.alias("epi_defaults"), F.when(on & ~own_move, F.col("ov.equity") * m).otherwise(0.0).alias("equity_idio"), F.col("ov.bp").alias("bp_per_notch"))
-    return cut(out.withColumn("run", F.row_number().over(Window.orderBy("req_id", "m")) - 1))
+    return cut(with_migration(cut(out.withColumn("run", F.row_number().over(Window.orderBy("req_id", "m")) - 1))))
+
+
+def with_migration(runs: DataFrame) -> DataFrame:
+    """Add what a run's factor ``z`` does to each rating: ``n2_of`` (the rating after migration) and ``pds_of`` (the stressed
+    default probability of that rating), by the rating before. Positions look them up; the normal distribution stays here."""
+    rows, top, z = fin.rating_rows(), fin.NOTCH["D"], F.col("z")
+    pd, *rest = ([getattr(r, c) for r in rows] for c in ("pd", "threshold", "sqrt_rho", "sqrt_one_less_rho"))
+
+    def stressed(n: Column) -> Column:
+        return risk.stressed_pd(_by_notch(pd, n), *(_by_notch(v, n) for v in rest), z)
+
+    after = F.transform(F.sequence(F.lit(0), F.lit(top)), lambda n: F.least(n + risk.systematic_notches(_by_notch(pd, n), stressed(n), z), F.lit(top)))
+    return runs.withColumn("n2_of", after).withColumn("pds_of", F.transform("n2_of", lambda n: F.when(
+        z < 0, F.greatest(_by_notch(pd, n), stressed(n))).otherwise(_by_notch(pd, n))))
 
 
 def with_multiples(requests: DataFrame, multiples: Sequence[float]) -> DataFrame:
@@ -104,13 +120,21 @@ def with_multiples(requests: DataFrame, multiples: Sequence[float]) -> DataFrame
 def revalue(positions: DataFrame, runs: DataFrame) -> DataFrame:
     """(position, run) rows: value change, stressed rating, stage, expected loss and capital.
 
-    Positions are expanded by run number, so the join has as many keys as runs. Up to ``BROADCAST_RUNS`` runs (a few
+    Positions are expanded by run number, so the join has as many keys as runs; asset classes apart, because all their
+    formulas together are more than Spark compiles. Up to ``BROADCAST_RUNS`` runs (a few
     kilobytes each) travel to the positions; more are joined by a shuffle over their many numbers.
     """
     n_runs = runs.count()
-    rows = fin.rating_rows()
     every = F.explode(F.slice(F.sequence(F.lit(0), F.lit(max(n_runs, 1) - 1)), 1, n_runs))
-    x = positions.withColumn("run", every).join(F.broadcast(runs) if n_runs <= BROADCAST_RUNS else runs, "run")
+    kind = F.coalesce("asset_class", F.lit(""))
+    parts = [(kind == k, k) for k in CLASSES] + [(~kind.isin(*CLASSES), "Derivatives")]
+    runs = F.broadcast(runs) if n_runs <= BROADCAST_RUNS else runs
+    return reduce(DataFrame.unionByName, [_revalued(positions.filter(rows).withColumn("run", every).join(runs, "run"), F.lit(k)) for rows, k in parts])
+
+
+def _revalued(x: DataFrame, asset: Column) -> DataFrame:
+    """(position, run) rows of one asset class, a literal, so that only its own formulas are left."""
+    rows = fin.rating_rows()
     is_epi = F.col("obligor_id") == F.col("epi_id")
     group_peer = (F.col("contagion") == "group") & (F.coalesce("epi.group", F.lit("")) != "") & (F.col("group") == F.col("epi.group"))
     sector_peer = (F.col("contagion") != "group") & (F.col("sector") == F.col("epi.sector")) & (F.col("bank") == F.col("epi.bank")) & (F.col("country") == F.col("epi.country"))
@@ -121,7 +145,9 @@ def revalue(positions: DataFrame, runs: DataFrame) -> DataFrame:
     top = fin.NOTCH["D"]
     bucket = F.when(F.col("notch").isNull(), F.col("s_bbb")).when(F.col("notch") <= fin.NOTCH["A-"], F.col("s_ig")).when(
         F.col("notch") <= fin.NOTCH["BBB-"], F.col("s_bbb")).otherwise(F.col("s_hy"))
-    spread = bucket + F.col("bp_per_notch") * F.col("n")
+    # what is used more than once is a column of its own, so each projection stays small enough to be compiled
+    x = x.withColumn("spread", bucket + F.col("bp_per_notch") * F.col("n"))
+    spread = F.col("spread")
     usdinr = F.col("s_inr")
     inr = F.col("currency") == "INR"
     knots = [(t, F.col(f"t{i}")) for i, (t, _) in enumerate(fin.TENORS)]
@@ -130,38 +156,36 @@ def revalue(positions: DataFrame, runs: DataFrame) -> DataFrame:
         r_at = r_at.when(F.col("years") <= t1, v0 + (v1 - v0) * (F.col("years") - t0) / (t1 - t0))
     x = x.withColumn("r_at", r_at.otherwise(knots[-1][1]))
     dy_bp = F.when(inr, F.col("s_in10")).otherwise(F.col("r_at")) + F.when(F.col("sovereign"), 0.0).otherwise(spread)
-    dy = dy_bp / 10_000.0
-    b0 = F.col("v0") * (-F.col("mod_dur") * dy + 0.5 * F.col("convexity") * dy * dy)
+    x = x.withColumn("dy", dy_bp / 10_000.0)
+    dy = F.col("dy")
+    x = x.withColumn("b0", F.col("v0") * (-F.col("mod_dur") * dy + 0.5 * F.col("convexity") * dy * dy))
+    b0 = F.col("b0")
     bond = F.when(F.col("dflt"), F.col("face") * (1.0 - F.col("lgd")) - F.col("v0")).otherwise(
         F.when(inr, b0 + (F.col("v0") + b0) * (1.0 / (1.0 + usdinr) - 1.0)).otherwise(b0))
     fx = F.col("notional") * F.when(F.col("pair") == "USDINR", F.col("s_inr")).otherwise(F.col("s_eur")) * F.col("sign")
     payout = F.col("notional") * F.col("lgd")
     cds = F.when(F.col("dflt"), F.when(F.col("bought"), payout).otherwise(-payout)).otherwise(F.col("cs01") * spread)
     under = F.coalesce(F.try_element_at("shock", F.col("underlying")), F.col("s_mkt"))
-    ds = 100.0 * under
+    x = x.withColumn("ds", F.when((asset == "Derivatives") & (F.col("instrument") == "EQ_OPTION"), 100.0 * under))
+    ds = F.col("ds")
     option = F.col("units") * (F.col("delta") * ds + 0.5 * F.col("gamma") * ds * ds + F.col("vega") * F.col("s_vix") / 100.0)
     own = F.try_element_at("shock", F.concat(F.lit("EQN:"), F.col("obligor_id")))
     market = F.coalesce(F.try_element_at("shock", F.col("factor")), F.col("s_mkt")) * F.col("beta")
-    base_ret = F.coalesce(own, market)
+    x = x.withColumn("base_ret", F.when(asset == "Equities", F.coalesce(own, market)))
+    base_ret = F.col("base_ret")
     ret = F.greatest(F.lit(-1.0), F.when(F.col("dflt"), -0.95).when(F.col("obligor_id") == F.col("epicenter"), (1.0 + base_ret) * (1.0 + F.col("equity_idio")) - 1.0).otherwise(base_ret))
     equity = F.when(inr, F.col("value") * ((1.0 + ret) / (1.0 + usdinr) - 1.0)).otherwise(F.col("value") * ret)
-    inst, asset = F.col("instrument"), F.col("asset_class")
+    inst = F.col("instrument")
     d_mtm = (
-        F.when(asset == "Bonds", bond).when(inst == "IRS", F.col("dv01") * F.col("r_at")).when(inst == "FX_FWD", fx).when(inst == "CDS", cds)
-        .when(inst == "EQ_OPTION", option).when(asset == "Equities", equity).otherwise(0.0))
+        F.when(asset == "Bonds", bond).when(asset == "Equities", equity).when(inst == "IRS", F.col("dv01") * F.col("r_at")).when(inst == "FX_FWD", fx).when(inst == "CDS", cds)
+        .when(inst == "EQ_OPTION", option).otherwise(0.0))
     # credit: idiosyncratic notches, then systematic migration from the stressed PD
     loan = asset == "Loans"
     by = lambda values, notch: _by_notch(values, notch)
-    pds, thr = [r.pd for r in rows], [r.threshold for r in rows]
-    sr, srr = [r.sqrt_rho for r in rows], [r.sqrt_one_less_rho for r in rows]
+    pds = [r.pd for r in rows]
     x = x.withColumn("n1", F.least(F.col("notch") + F.col("n"), F.lit(top)))
-    z = F.col("z")
-    pd1 = by(pds, F.col("n1"))
-    pdz1 = risk.stressed_pd(pd1, by(thr, F.col("n1")), by(sr, F.col("n1")), by(srr, F.col("n1")), z)
-    x = x.withColumn("n2", F.when(loan, F.least(F.col("n1") + risk.systematic_notches(pd1, pdz1, z), F.lit(top))))
-    pd2 = by(pds, F.col("n2"))
-    pdz2 = risk.stressed_pd(pd2, by(thr, F.col("n2")), by(sr, F.col("n2")), by(srr, F.col("n2")), z)
-    x = x.withColumn("pd2", pd2).withColumn("pds", F.when(loan & (z < 0), F.greatest(pd2, pdz2)).otherwise(pd2))
+    x = x.withColumn("n2", F.when(loan, F.get("n2_of", F.col("n1")))).withColumn("pds", F.when(loan, F.get("pds_of", F.col("n1"))))
+    x = x.withColumn("pd2", by(pds, F.col("n2")))
     x = x.withColumn("stage1", F.when(loan & F.col("dflt"), 3).when(loan, risk.stage_of(F.coalesce("orig_notch", "notch"), F.col("n2"))))
     ecl1 = F.when(loan & F.col("dflt"), F.col("lgd") * F.col("ead")).when(
         loan, risk.expected_loss(F.col("stage1"), F.col("pds"), F.col("lgd"), F.col("ead"), F.col("years"), F.col("pd2"))).otherwise(0.0)
@@ -170,7 +194,7 @@ def revalue(positions: DataFrame, runs: DataFrame) -> DataFrame:
         (asset == "Bonds") & ~F.col("sovereign"), F.when(F.col("dflt"), top).otherwise(F.col("n1"))).otherwise(F.col("notch"))
     x = x.withColumn("notch1", notch1)
     bad = F.when(loan, F.col("stage1") == 3).otherwise(F.col("dflt"))
-    x = x.withColumn("rwa1", capital_weighted(F.col("notch1"), bad, F.col("v0") + F.col("pnl")))
+    x = x.withColumn("rwa1", capital_weighted(F.col("notch1"), bad, F.col("v0") + F.col("pnl"), asset))
     return x.select("run", "req_id", "m", "pos_id", "asset_class", "instrument", "obligor_id", "sector", "v0", "pnl", "stage0", "stage1", "ecl0", "ecl1",
                     "ead", "notch", "notch1", "rwa0", "rwa1", "dflt")
 

@@ -13,6 +13,7 @@ from riskloom.functions import risk
 from riskloom.operators import book, market, marts, stress
 from riskloom.plans.market_queries import FACT, M, SHOCK_SQL, scenarios, shocks
 from riskloom.plans.registry import big, query, r6, staged
+from riskloom.session import cut
 
 RT = fin.rating_rows()
 O, T = corpus.OBLIGOR_SQL, corpus.TRADES_SQL
@@ -205,10 +206,10 @@ STRESS = f"{M}, {SHOCK_SQL}, {BOOK}, {stress_sql((0.5, 1.0))}"
 
 
 def stressed(spark, sf) -> DataFrame:
-    def build():
-        runs = stress.build_runs(stress.with_multiples(requests(spark), (0.5, 1.0)), corpus.obligors(spark, sf), market.shock_vectors(shocks(spark, sf)), scenarios(spark))
-        return stress.revalue(positions(spark, sf), runs)
-    return staged(spark, sf, "stressed", build)
+    """Positions times runs; never written, because every reader folds or filters the rows and a row costs less than its copy on disk."""
+    runs = staged(spark, sf, "runs", lambda: stress.build_runs(
+        stress.with_multiples(requests(spark), (0.5, 1.0)), corpus.obligors(spark, sf), market.shock_vectors(shocks(spark, sf)), scenarios(spark)))
+    return stress.revalue(positions(spark, sf), runs)
 
 
 @query("m14_stress_capital", f"""WITH {STRESS} SELECT rid AS req_id, m, round(sum(ecl0), 1) AS ecl_before, round(sum(ecl1), 1) AS ecl_after, round(-sum(pnl), 0) AS pre_tax_loss, round(sum(rwa1), 0) AS rwa_after, round((0.13 * sum(rwa0) + 0.75 * sum(pnl)) / sum(rwa1), 6) AS cet1_ratio FROM st GROUP BY ALL""")
@@ -257,7 +258,7 @@ def a18(spark, sf):
 
 @query("a19_weighted_ecl", f"WITH {STRESS}, t AS (SELECT rid, m, sum(ecl0) AS b, sum(ecl1) AS a FROM st GROUP BY ALL) SELECT x.rid AS req_id, x.m, round(0.5 * x.b + 0.3 * y.a + 0.2 * x.a, 1) AS ecl_weighted FROM t x JOIN t y ON y.rid = x.rid AND y.m = x.m / 2")
 def a19(spark, sf):
-    return stress.weighted_ecl(stress.capital_after(stressed(spark, sf))).select("req_id", "m", F.round("ecl_weighted", 1).alias("ecl_weighted"))
+    return stress.weighted_ecl(cut(stress.capital_after(stressed(spark, sf)))).select("req_id", "m", F.round("ecl_weighted", 1).alias("ecl_weighted"))
 
 
 @query("k04_top_contributors", f"WITH {STRESS}, r AS (SELECT rid, m, facility_id, pnl, row_number() OVER (PARTITION BY rid, m ORDER BY pnl, facility_id) AS rank FROM st) SELECT rid AS req_id, m, rank, facility_id AS pos_id, round(-pnl, 1) AS loss FROM r WHERE rank <= 10 AND pnl < 0")
@@ -273,7 +274,7 @@ def k10(spark, sf):
 
 @query("m21_waterfall", f"WITH {STRESS}, c AS (SELECT rid, m, ac, sum(v0 - ecl0) AS b, sum(CASE WHEN ac = 'Loans' THEN v0 - ecl1 ELSE v0 + pnl END) AS a, sum(pnl) AS p FROM st GROUP BY ALL) SELECT rid AS req_id, m, 'Before' AS step, round(sum(b), 0) AS amount FROM c GROUP BY ALL UNION ALL SELECT rid, m, 'After', round(sum(a), 0) FROM c GROUP BY ALL UNION ALL SELECT rid, m, ac, round(p, 0) FROM c")
 def m21w(spark, sf):
-    return marts.waterfall(stress.by_class(stressed(spark, sf))).select("req_id", "m", "step", F.round("amount", 0).alias("amount"))
+    return marts.waterfall(cut(stress.by_class(stressed(spark, sf)))).select("req_id", "m", "step", F.round("amount", 0).alias("amount"))
 
 
 @query("f44_memo_facts", f"""WITH {STRESS}, c AS (SELECT rid, m, ac, sum(pnl) AS p FROM st GROUP BY ALL), w AS (SELECT rid, m, arg_min(ac, (p, ac)) AS worst_class FROM c GROUP BY ALL)
