@@ -77,3 +77,22 @@ def test_prefilter_equals_its_pattern(spark):
     d = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     got = {x.id for x in d.filter(names.holds_name(UNIVERSE)(F.col("text"))).collect()}
     assert got == {k for k, t in enumerate(texts) if pattern.search(t)}
+
+
+def test_names_as_a_table_give_the_hits_of_the_automaton(spark):
+    from riskloom import corpus
+    from riskloom.operators import mentions
+    from riskloom.plans.text_queries import DIMS
+    from pyspark.sql import functions as F
+
+    ents = [corpus.Entity("A", "company", "A", ("Acme", "Acme Holdings", "acme"), (), "0000000011", None, ("ACM",)),
+            corpus.Entity("B", "company", "B", ("Holdings", "C&D"), ("acme holdings",)), corpus.Entity("C", "company", "C", ("",), ("Straße",), "11", None, ("acm", "XY"))]
+    texts = ["Acme Holdings and acme holdings, ACME; $ACM $Acme xAcme", "C&D's straße Straße (NYSE: XY)", "", None, "Acme Holdings and acme holdings, ACME; $ACM $Acme xAcme"]
+    docs = spark.createDataFrame([(i % 3, t, "Title", ("filing", "news")[i % 2], ("011", None)[i % 3 == 2]) for i, t in enumerate(texts)],
+                                 "id int, text string, title string, source_type string, cik string")
+    args = [F.col(c) for c in ("text", "title", "source_type", "cik")]
+    universe = spark.createDataFrame([(e.entity_id, list(e.aliases), list(e.ambiguous_aliases), list(e.cashtags), e.cik) for e in ents],
+                                     "entity_id string, aliases array<string>, ambiguous_aliases array<string>, cashtags array<string>, cik string")
+    want = docs.select("id", F.explode(mentions.Linker(ents, DIMS).hits(*args)).alias("h")).select("id", "h.*")
+    got = mentions.Linker(universe, DIMS).hit_rows(docs, ["id"], *args)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
