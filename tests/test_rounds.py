@@ -182,3 +182,20 @@ def test_gap_chains(spark):
     rows = [("k", T0, 1), ("k", T0 + timedelta(hours=23), 2), ("k", T0 + timedelta(hours=48), 3)]
     df = spark.createDataFrame(rows, "k string, ts timestamp, id int")
     assert [r["chain"] for r in neardup.gap_chains(df, ["k"], "ts", "id").orderBy("id").collect()] == [0, 0, 1]
+
+
+def test_rows_of_a_large_key_come_in_order_and_in_chunks():
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"a": "x", "t": rng.integers(0, 50, 1000), "id": [f"{i:04d}" for i in rng.permutation(1000)]})
+    want = pdf.sort_values(["t", "id"]).reset_index(drop=True)
+    parts = list(jobs.in_order(iter([pdf.iloc[i:i + 70] for i in range(0, 1000, 70)]), ["t", "id"], chunk=128))
+    assert max(map(len, parts)) == 128
+    pd.testing.assert_frame_equal(pd.concat(parts, ignore_index=True), want)
+    fold, state, kept = jobs.rate_fold(2, 1, "id"), [], []
+    for p in parts:
+        out, state = fold(state, p.assign(t=p["t"] * 400_000))
+        kept += list(out["id"])
+    assert kept == list(jobs.rate_fold(2, 1, "id")([], want.assign(t=want["t"] * 400_000))[0]["id"])
