@@ -52,3 +52,15 @@ def test_blocks_are_dealt_to_tasks(spark):
 
     out = block_fold(rows, ["k"], "block", fold, "k string, block bigint, part int", "none")
     assert out.count() == 64 and out.select("part").distinct().count() > 4
+
+
+def test_spread_bounds_the_rows_of_a_task(spark):
+    """Splits as many as cores, each of more rows than a task should compute."""
+    from riskloom.session import ROWS_A_TASK, spread
+
+    df = spark.range(0, 5 * ROWS_A_TASK * 4, 1, 4)
+    dealt = spread(df)
+    assert max(dealt.rdd.glom().map(len).collect()) <= ROWS_A_TASK * 1.1
+    assert sorted(r[0] for r in dealt.collect()) == list(range(5 * ROWS_A_TASK * 4))
+    few = spark.range(0, 100, 1, 8)
+    assert spread(few).rdd.getNumPartitions() == 8
