@@ -41,6 +41,43 @@ def test_denials_meet_texts_without_pairs(spark):
     assert "MapInArrow" in out._jdf.queryExecution().toString() and "array_intersect" not in out._jdf.queryExecution().toString()
 
 
+def test_denials_go_once_to_the_stories_they_can_reach(spark, monkeypatch):
+    """A denial of many stories is one row of the cell, not one a story; one too long for every text is none."""
+    seen = []
+    real = st.in_tasks
+    monkeypatch.setattr(st, "in_tasks", lambda df, keys: seen.append(df) or real(df, keys))
+    texts = [("e", f"s{i}", f"k{i}", (T0, f"t{i}"), [f"w{i}", "common"]) for i in range(9)]
+    later = T0 + timedelta(hours=1)
+    asked = [("e", d, later, words, f"s{i}") for i in range(9) for d, words in (("d0", ["common", "more"]), ("d1", ["common", *[f"x{k}" for k in range(40)]]))]
+    t = spark.createDataFrame(texts, "entity_id string, start_doc string, key_tokens string, first struct<published_at:timestamp,doc_id:string>, words array<string>")
+    a = spark.createDataFrame(asked, "entity_id string, doc_id string, published_at timestamp, denial_words array<string>, start_doc string")
+    got = st.denial_overlaps(a, t).collect()
+    assert sorted((r.start_doc, r.doc_id, round(r.overlap, 6)) for r in got) == [(f"s{i}", "d0", 0.333333) for i in range(9)]
+    (dealt,) = seen
+    assert dealt.filter("_kind = 0").count() == 1 and dealt.filter("_kind = 1").count() == 9
+
+
+def test_stories_without_retractions_are_matched_once(spark, monkeypatch):
+    """Where no closing row moves, a second round would repeat the first."""
+    from riskloom.dims.text_rules import FINANCE
+
+    calls = []
+    real = st.match_denials
+    monkeypatch.setattr(st, "match_denials", lambda *a: calls.append(1) or real(*a))
+    label = "struct<primary:string,confidence:double,subtype:string>"
+    kinds = {"entity_id": "string", "doc_id": "string", "published_at": "timestamp", "key_text": "string", "source_type": "string", "own_key": "string", "author": "string", "label": label,
+             "sentiment": "double", "relevance": "int", "lookalike": "boolean", "authoritative": "boolean", "denial": "boolean", "denial_words": "array<string>"}
+
+    def mention(i, denial):
+        words = ["plant", "fire", "halted", "output"]
+        return ("E", f"d{i}", T0 + timedelta(minutes=i), " ".join(words), "news", f"v{i}", None, ("OPERATIONAL_ESG", 0.9, None), -0.5, 80, False, True, denial, words if denial else None)
+
+    m = spark.createDataFrame([mention(i, i == 3) for i in range(4)], ", ".join(f"{k} {v}" for k, v in kinds.items()))
+    s = st.build_stories(m, FINANCE)
+    assert [(r.doc_id, r.kind) for r in s.denials.collect()] == [("d3", "contested")] and s.members.count() == 3
+    assert len(calls) == 1
+
+
 def test_blocks_are_dealt_to_tasks(spark):
     """Few bytes may be much work: the blocks of a fold do not share one task."""
     rows = spark.range(64).select(F.col("id").cast("string").alias("k"), F.lit(1).cast("bigint").alias("block"))
