@@ -78,6 +78,25 @@ def test_stories_without_retractions_are_matched_once(spark, monkeypatch):
     assert len(calls) == 1
 
 
+def test_kept_rows_are_small_on_disk_and_whole(spark, tmp_path):
+    """Wide rows lie compressed in the scratch folder, as they were; rows no table can hold are cut as before."""
+    import os
+
+    from riskloom import session
+
+    before = spark.conf.get(session.CLEANUP, None)
+    df = spark.range(20_000).select("id", F.repeat(F.lit("word "), 200).alias("text"), F.timestamp_micros(F.col("id") + 1).alias("at"), F.when(F.col("id") % 2 == 0, F.struct("id")).alias("some"))
+    scratch = session.scratch_dir(spark).removeprefix("file:")
+    was = set(os.listdir(scratch))
+    back = session.kept(df)
+    (new,) = set(os.listdir(scratch)) - was
+    size = sum(os.path.getsize(os.path.join(scratch, new, f)) for f in os.listdir(os.path.join(scratch, new)))
+    assert size < 2_000_000 and back.schema.simpleString() == df.schema.simpleString() and back.exceptAll(df).isEmpty() and df.exceptAll(back).isEmpty()
+    assert spark.conf.get(session.CLEANUP, None) == before
+    odd = df.select("id", F.lit(None).alias("nothing"), F.col("id").alias("ID"))
+    assert session.kept(odd).count() == 20_000 and session.kept(df.filter("id < 0")).count() == 0
+
+
 def test_blocks_are_dealt_to_tasks(spark):
     """Few bytes may be much work: the blocks of a fold do not share one task."""
     rows = spark.range(64).select(F.col("id").cast("string").alias("k"), F.lit(1).cast("bigint").alias("block"))
