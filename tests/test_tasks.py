@@ -110,6 +110,29 @@ def test_blocks_are_dealt_to_tasks(spark):
     assert out.count() == 64 and out.select("part").distinct().count() > 4
 
 
+def test_a_fold_reads_its_rows_once_a_round(spark):
+    """Rows that are dear to make are made once a round, and again only for the blocks that run again; no block, no row."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(k, b, b * 10 + i) for k in ("x", "y") for b in range(3) for i in range(4)] + [(None, 1, 5), ("x", None, 6)], "k string, block bigint, v bigint").coalesce(1)
+
+    def fold(state, pdf):
+        out = pdf.sort_values("v")
+        return out[["k", "block", "v"]].assign(run=(int(state) + out["v"].cumsum()).astype(int)), str(int(state) + int(out["v"].sum()))
+
+    got = sorted(tuple(r) for r in block_fold(rows.mapInArrow(counted, rows.schema), ["k"], "block", fold, "k string, block bigint, v bigint, run bigint", "0").collect())
+    want, total = [], {}
+    for k, b, v in sorted((k, b, b * 10 + i) for k in ("x", "y") for b in range(3) for i in range(4)):
+        total[k] = total.get(k, 0) + v
+        want.append((k, b, v, total[k]))
+    assert got == want and made.value <= 3 * 26
+
+
 def test_spread_bounds_the_rows_of_a_task(spark):
     """Splits as many as cores, each of more rows than a task should compute."""
     from riskloom.session import ROWS_A_TASK, spread
